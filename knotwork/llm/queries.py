@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import secrets
+from knotwork.llm import decontaminate, secrets, urls
 from knotwork.llm.scratch import table
 
 
@@ -11,6 +11,17 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    """Every pair of a document and a test item that it contains."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_url_filters(spark, sf_dir):
+    """Verdict on every page's url; the list holds the urls of spam-farm hosts."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.spam_list(pages))
+
+
 def queries():
     """Name -> callable(spark, sf_dir)."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
@@ -18,4 +29,8 @@ def queries():
 
 def oracle_sql():
     """Name -> DuckDB SQL of the queries that SQL can express."""
-    return {"op10_secret_scans": secrets.ORACLE_SQL}
+    return {
+        "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op9_url_filters": urls.ORACLE_SQL,
+        "op10_secret_scans": secrets.ORACLE_SQL,
+    }
