@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import decontaminate, secrets, urls
+from knotwork.llm import decontaminate, lines, secrets, shards, urls
 from knotwork.llm.scratch import table
 
 
@@ -11,11 +11,21 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    """Lines kept and removed of every document."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     """Every pair of a document and a test item that it contains."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark, sf_dir):
+    """Shard of every document, by text bytes."""
+    return shards.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark, sf_dir):
     """Verdict on every page's url; the list holds the urls of spam-farm hosts."""
     pages = table(spark, sf_dir, "pages")
@@ -30,7 +40,9 @@ def queries():
 def oracle_sql():
     """Name -> DuckDB SQL of the queries that SQL can express."""
     return {
+        "op2_line_dedup": lines.ORACLE_SQL,
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op8_sharding": shards.ORACLE_SQL,
         "op9_url_filters": urls.ORACLE_SQL,
         "op10_secret_scans": secrets.ORACLE_SQL,
     }
