@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import decontaminate, lines, secrets, shards, urls
+from knotwork.llm import decontaminate, langid, lines, secrets, shards, urls
 from knotwork.llm.scratch import table
 
 
@@ -21,6 +21,11 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     """Shard of every document, by text bytes."""
     return shards.assign_shards(table(spark, sf_dir, "documents"))
