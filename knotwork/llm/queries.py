@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import decontaminate, langid, lines, secrets, shards, urls
+from knotwork.llm import decontaminate, langid, lines, packing, secrets, shards, urls
 from knotwork.llm.scratch import table
 
 
@@ -11,6 +11,11 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op1_packing(spark, sf_dir):
+    """All documents packed into sequences, by source."""
+    return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     """Lines kept and removed of every document."""
     return lines.line_report(table(spark, sf_dir, "documents"))
