@@ -215,7 +215,7 @@ def _pack_lane(sequence: int, window: int, wide: bool, with_ids: bool):
     types = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int32())]
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
-    def run(_key, docs: pa.Table, carries: pa.Table):
+    def run(_key, docs, carries):
         info = {r["source"]: r for r in carries.to_pylist()}
         order = np.argsort(docs.column("row").to_numpy(), kind="stable")
         doc_ids, sources, n = docs.column("doc_id").to_pylist(), docs.column("source").to_pylist(), docs.column("n").to_pylist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import decontaminate, langid, lines, packing, secrets, shards, urls
+from knotwork.llm import decontaminate, langid, lines, neardup_vectors, ngram_join, packing, secrets, shards, urls
 from knotwork.llm.scratch import table
 
 
@@ -21,6 +21,11 @@ def op2_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark, sf_dir):
+    """Component of every document under links of 3-word shingle sets."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     """Every pair of a document and a test item that it contains."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,6 +36,11 @@ def op5_language_id(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_neardup(spark, sf_dir):
+    """Links, component and verdict of every vector."""
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark, sf_dir):
     """Shard of every document, by text bytes."""
     return shards.assign_shards(table(spark, sf_dir, "documents"))
@@ -52,6 +62,7 @@ def oracle_sql():
     return {
         "op2_line_dedup": lines.ORACLE_SQL,
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op6_embedding_neardup": neardup_vectors.ORACLE_SQL,
         "op8_sharding": shards.ORACLE_SQL,
         "op9_url_filters": urls.ORACLE_SQL,
         "op10_secret_scans": secrets.ORACLE_SQL,
