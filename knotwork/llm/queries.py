@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.llm import decontaminate, langid, lines, neardup_vectors, ngram_join, packing, secrets, shards, urls
+from knotwork.llm import decontaminate, langid, lines, neardup_vectors, ngram_join, packing, quality, secrets, shards, urls
 from knotwork.llm.scratch import table
 
 
@@ -41,6 +41,11 @@ def op6_embedding_neardup(spark, sf_dir):
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    """Quality and toxicity of every document."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark, sf_dir):
     """Shard of every document, by text bytes."""
     return shards.assign_shards(table(spark, sf_dir, "documents"))
