@@ -1,6 +1,6 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-The text view is a logistic regression on hashed words (present or not) and a few shape measures of the text; the
+The text view is a logistic regression on hashed words and word beginnings (present or not) and a few shape measures of the text; the
 metadata view is one on the document's source, language and length. Both learn from a bounded sample of labelled
 rows. In each round a view labels the documents of an unlabelled pool of which it is confident (beyond a cut at
 which its precision on held-back labels reaches ``PRECISION``, for each class by itself) and hands them to the
@@ -19,7 +19,6 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +26,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED = 5_000
-POOL = 5_000
+LABELLED = 8_000
+POOL = 4_000
 BITS = 16
 #: Words in fewer training documents than this carry no weight.
 LEAST_DOCS = 3
+PREFIX = 4
 ROUNDS = 3
 PRECISION = 0.97
 PER_ROUND = 500
 SHAPES = 8
 META = 256
-_WORD = re.compile(r"[^\W_]+")
-
 
 class _Slots(dict):
+    """Word -> its slot, and above that the slot of its first PREFIX letters."""
+
     def __missing__(self, word):
         if len(self) >= 300_000:
             self.clear()
-        found = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+        whole, start = (xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in (word, f"{word[:PREFIX]}-"))
+        found = self[word] = whole | start << BITS
         return found
 
 
 def text_features(text: str, slots: _Slots) -> tuple[np.ndarray, list[float]]:
     """(distinct word slots, shape measures between about 0 and 1) of a whole text."""
     words = text.lower().split()
-    own = np.unique(np.fromiter((slots[w.strip(".,;:!?\"'()")] for w in words), np.int32, len(words)))
+    own = np.fromiter((slots[w.strip(".,;:!?\"'()")] for w in words), np.int64, len(words))
+    own = np.unique(np.concatenate([own & ((1 << BITS) - 1), own >> BITS])).astype(np.int32)
     n, m = max(1, len(text)), max(1, len(words))
     upper = sum(map(str.isupper, text.split())) / m
     odd = sum(text.count(c) for c in "|#*%$&!<>{}[]\\~^") / m
@@ -106,7 +108,7 @@ class Rows:
         return np.concatenate([np.bincount(self.slots, weights=r[self.row], minlength=self.width), self.dense.T @ r])
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 80) -> np.ndarray:
+def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 60) -> np.ndarray:
     """Weights and intercept of an L2-penalised logistic regression, by Adam on all rows."""
     w = np.zeros(rows.width + rows.dense.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -190,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     # both are bounded by parameters, so the texts stay where they are
     wanted = docs.join(F.broadcast(chosen.unionByName(loose)), "doc_id")
     got = wanted.select("text", "source", "lang", "n_chars", "quality", "toxic").mapInArrow(_features, "quality double, toxic double, words array<int>, shapes array<double>, meta array<int>").toArrow()
-    words = [np.array(w, np.int32) for w in got.column("words").to_pylist()]
+    words = [w.values.to_numpy() for w in got.column("words")]
     used = np.bincount(np.concatenate([*words, np.zeros(0, np.int32)]), minlength=1 << BITS) >= LEAST_DOCS
     views = _views([w[used[w]] for w in words], got.column("shapes").to_pylist(), got.column("meta").to_pylist())
     out = {"words": used}
