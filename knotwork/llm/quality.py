@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 8_000
-POOL = 4_000
+POOL = 3_000
 BITS = 16
 #: Words in fewer training documents than this carry no weight.
 LEAST_DOCS = 3
 PREFIX = 4
-ROUNDS = 3
+ROUNDS = 2
+#: Tried for each view; the least loss on held-back labels decides.
+PENALTIES = (1e-2, 1e-3, 1e-4)
 PRECISION = 0.97
 PER_ROUND = 500
 SHAPES = 8
@@ -103,25 +105,46 @@ class Rows:
         """Scores of all rows, without the intercept."""
         return np.bincount(self.row, weights=w[self.slots], minlength=len(self.dense)) + self.dense @ w[self.width :]
 
+    def only(self, use: np.ndarray) -> Rows:
+        """The same rows with the slots in ``use`` alone."""
+        out = Rows([], self.dense, self.width)
+        keep = use[self.slots]
+        out.slots, out.row = self.slots[keep], self.row[keep]
+        return out
+
     def back(self, r: np.ndarray) -> np.ndarray:
         """The transpose applied to residuals."""
         return np.concatenate([np.bincount(self.slots, weights=r[self.row], minlength=self.width), self.dense.T @ r])
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 60) -> np.ndarray:
-    """Weights and intercept of an L2-penalised logistic regression, by Adam on all rows."""
-    w = np.zeros(rows.width + rows.dense.shape[1] + 1)
+def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float, scale: np.ndarray | None = None, steps: int = 80) -> np.ndarray:
+    """Weights and intercept of an L2-penalised logistic regression, by Adam on all rows.
+
+    ``scale`` stretches each slot, so that a slot of strong association needs little weight.
+    """
+    size = rows.width + rows.dense.shape[1]
+    by = np.concatenate([np.ones(rows.width) if scale is None else scale, np.ones(size - rows.width)])
+    w = np.zeros(size + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     total = max(weight.sum(), 1e-9)
     for t in range(1, steps + 1):
-        r = weight * (_sigmoid(rows.dot(w[:-1]) + w[-1]) - y)
-        g = np.concatenate([rows.back(r), [r.sum()]]) / total
-        g[:-1] += penalty * w[:-1]
+        r = weight * (_sigmoid(rows.dot(w[:-1] * by) + w[-1]) - y)
+        g = np.concatenate([rows.back(r) * by, [r.sum()]]) / total
+        g[: rows.width] += penalty * w[: rows.width]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    w[:-1] *= by
     return w
 
 
+def association(rows: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Log-odds ratio of each slot, at most 3 either way; 0 where it is within its own standard error."""
+    yes = np.bincount(rows.slots, weights=(weight * y)[rows.row], minlength=rows.width) + 1
+    no = np.bincount(rows.slots, weights=(weight * (1 - y))[rows.row], minlength=rows.width) + 1
+    ratio = np.log(yes / ((weight * y).sum() + 2)) - np.log(no / ((weight * (1 - y)).sum() + 2))
+    return np.where(np.abs(ratio) >= np.sqrt(1 / yes + 1 / no), np.clip(ratio, -3, 3), 0.0)
+
+
 def _cut(p: np.ndarray, y: np.ndarray) -> float:
     """The least score from which the share of y is at least PRECISION; over 1 where there is none."""
     order = np.argsort(-p, kind="stable")
@@ -133,7 +156,7 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
 class Judge:
     """Co-trained views of one label, and their calibration."""
 
-    def __init__(self, views: list[Rows], y: np.ndarray, penalties: list[float]):
+    def __init__(self, views: list[Rows], y: np.ndarray):
         known = np.flatnonzero(~np.isnan(y))
         self.prior = float(y[known].mean()) if len(known) else 0.5
         self.views, self.mix = None, None
@@ -145,7 +168,18 @@ class Judge:
         for w in weights:
             w[held] = 0
         pool = np.isnan(y)
-        models = [fit(v, t, w, p) for v, t, w, p in zip(views, labels, weights, penalties, strict=True)]
+        scales = [association(v, t, w) for v, t, w in zip(views, labels, weights, strict=True)]
+        slim = [v.only(r != 0) for v, r in zip(views, scales, strict=True)]
+        models, penalties = [], []
+        for v, t, w, r in zip(slim, labels, weights, scales, strict=True):
+            tried = []
+            for penalty in PENALTIES:
+                m = fit(v, t, w, penalty, r)
+                p = np.clip(_sigmoid(v.dot(m[:-1]) + m[-1])[held], 1e-6, 1 - 1e-6)
+                tried.append((-float(np.mean(np.log(np.where(y[held] == 1, p, 1 - p)))), penalty, m))
+            _, penalty, m = min(tried, key=lambda x: x[:2])
+            models.append(m)
+            penalties.append(penalty)
         for _ in range(ROUNDS):
             given = 0
             for k, (v, m) in enumerate(zip(views, models, strict=True)):
@@ -159,10 +193,10 @@ class Judge:
                     given += len(sure)
             if not given:
                 break
-            models = [fit(v, t, w, p) for v, t, w, p in zip(views, labels, weights, penalties, strict=True)]
+            models = [fit(v, t, w, p, r) for v, t, w, p, r in zip(slim, labels, weights, penalties, scales, strict=True)]
         self.views = models
         z = np.stack([v.dot(m[:-1]) + m[-1] for v, m in zip(views, models, strict=True)], axis=1)
-        self.mix = fit(Rows([np.zeros(0, np.int32)] * len(held), np.clip(z[held], -15, 15), 0), y[held], np.ones(len(held)), 1e-3, 300)
+        self.mix = fit(Rows([np.zeros(0, np.int32)] * len(held), np.clip(z[held], -15, 15), 0), y[held], np.ones(len(held)), 1e-3, steps=300)
 
     def score(self, views: list[Rows]) -> np.ndarray:
         """The probability of the label for each row."""
@@ -198,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     out = {"words": used}
     for name in ("quality", "toxic"):
         y = np.array([np.nan if v is None else v for v in got.column(name).to_pylist()], float)
-        out[name] = Judge(views, y, [2e-4, 1e-3])
+        out[name] = Judge(views, y)
     return out
 
 
