@@ -59,7 +59,7 @@ class Forest:
         while len(self.log) > mark:
             x, y = self.log.pop()
             self.up[y] = y
-            self.size[x] -= self.size[y]
+            self.size[x] -= self.size.get(y, 1)
             self.joins -= 1
 
 

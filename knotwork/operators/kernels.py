@@ -126,6 +126,35 @@ def cut_vertices(adj: list[int], inside: int) -> int:
     return cut
 
 
+def core_numbers(adj: list[int]) -> list[int]:
+    """Core number of each vertex, by removing vertices of least degree."""
+    degree = [a.bit_count() for a in adj]
+    left, heap, core, level = (1 << len(adj)) - 1, [(d, v) for v, d in enumerate(degree)], [0] * len(adj), 0
+    heapq.heapify(heap)
+    while left:
+        d, v = heapq.heappop(heap)
+        if not left >> v & 1 or d != degree[v]:
+            continue
+        level = max(level, d)
+        core[v] = level
+        left ^= 1 << v
+        for w in bits(adj[v] & left):
+            degree[w] -= 1
+            heapq.heappush(heap, (degree[w], w))
+    return core
+
+
+def core_scope(adj: list[int], need: Callable[[int], int]) -> tuple[int, int]:
+    """(scope to peel, first set): the least core level whose largest part is as dense as its size asks, and what is around it."""
+    core = core_numbers(adj)
+    at = lambda k: sum(1 << v for v, c in enumerate(core) if c >= k)
+    biggest = lambda k: max(parts(adj, at(k)), key=int.bit_count)
+    top = max(core)
+    level = next((k for k in range(2, top + 1) if need(biggest(k).bit_count()) <= k), None)
+    first = biggest(level or top)
+    return reach(adj, first & -first, at(max(1, (level or 1) - 1))), first
+
+
 def peel_least(adj: list[int], inside: int, need: Callable[[int], int], first: int = 0) -> int:
     """Remove the least-degree vertex that is no cut vertex until the rest is feasible.
 

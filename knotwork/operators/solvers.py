@@ -82,6 +82,15 @@ def peel_core(edges: DataFrame, tau: float, keep_first: bool) -> list[int]:
     edges = saved(edges)
     if edges.isEmpty():
         return []
+    if edges.count() <= KERNEL_EDGES:  # one task holds the graph: no rounds of jobs are needed
+
+        def whole(ids, adj, rows):
+            need = python_threshold("flexi", tau)
+            scope, first = kernels.core_scope(adj, need)
+            start = first if keep_first and kernels.feasible(adj, first, need, True) else 0
+            return [(kernels.peel_least(adj, scope, need, start), 0, False)]
+
+        return _best(edges.groupBy(F.lit(0).alias("g")).applyInArrow(lambda rows: _grouped(rows, whole), _NODES))
     scope, first = _core_scope(edges, tau)
     marked = scope.join(first.withColumnsRenamed({"id": "src"}).withColumn("s", F.lit(True)), "src", "left").join(first.withColumnsRenamed({"id": "dst"}).withColumn("d", F.lit(True)), "dst", "left").select("src", "dst", "s", "d")
 
