@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.scratch import materialize
+from knotwork.llm.scratch import guarded, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -85,10 +85,9 @@ def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that contain a test item; their columns are kept."""
-    bad = contained_items(docs, items, **options).select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("th").alias("__t")).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "__h": F.xxhash64(text)})
-    return keyed.join(bad, (keyed["__k"] == bad["__d"]) & (keyed["__h"] == bad["__t"]), "left_anti").drop("__k", "__h")
+    bad = contained_items(docs, items, **options).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th").distinct()
+    rows, restore = guarded(docs)
+    return restore(rows.join(bad, ["id", "th"], "left_anti"))
 
 
 _WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"

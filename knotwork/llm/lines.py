@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.scratch import materialize
+from knotwork.llm.scratch import discard, guarded, materialize
 
 #: Passages of over 50 words are found, as far as they are whole lines.
 MIN_WORDS = 50
@@ -77,45 +77,45 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     start = F.least("at", "far")
     shared = shared.select("d", "t", start.alias("lo"), F.greatest("at", "far").alias("hi"), "run", "run2")
     first = shared.groupBy("run", "run2").agg(F.min(F.struct("d", "t", "lo")).alias("first"), F.max(F.struct("d", "t", "lo")).alias("last")).where("first != last").select("run", "run2", "first")
+    first = materialize(first, "line-first")  # a table by itself, so that a run with very many copies can be split in the join
     later = shared.join(first, ["run", "run2"]).where(F.struct("d", "t", "lo") > F.col("first")).select("d", "t", "lo", "hi").distinct()
     # the union of the runs of each document, as positions: each start carries the furthest end so far
     w = Window.partitionBy("d", "t").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     best = later.groupBy("d", "t", "lo").agg(F.max("hi").alias("hi"))
     fresh = best.withColumn("seen", F.coalesce(F.max("hi").over(w), F.lit(-1)))
     spans = fresh.select("d", "t", F.greatest("lo", F.col("seen") + 1).alias("lo"), "hi").where("lo <= hi")
-    return spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gone"))
+    gone = materialize(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gone")), "line-gone")
+    discard(runs, first)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``, plus n_lines and n_removed (both long)."""
-    gone = repeated_lines(docs, min_words).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__h": F.xxhash64(F.coalesce(text, F.lit("")))})
-    both = keyed.join(gone, (keyed["__k"] == gone["__d"]) & (keyed["__h"] == gone["__t"]), "left")
-    lines = _lines(text)
+    gone = repeated_lines(docs, min_words).withColumnsRenamed({"d": "id", "t": "th"})
+    rows, restore = guarded(docs)
+    both = rows.join(gone, ["id", "th"], "left")
+    text, lines = F.col("text"), _lines(F.col("text"))
     # between two deleted spans the lines stay; a blank line inside a span stays as well
     kept = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.size("__gone")),
+            F.sequence(F.lit(0), F.size("gone")),
             lambda k: F.concat(
-                F.when(k > 0, F.filter(F.slice(lines, F.get("__gone", k - 1)["lo"] + 1, F.get("__gone", k - 1)["hi"] - F.get("__gone", k - 1)["lo"] + 1), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.array().cast("array<string>")),
+                F.when(k > 0, F.filter(F.slice(lines, F.get("gone", k - 1)["lo"] + 1, F.get("gone", k - 1)["hi"] - F.get("gone", k - 1)["lo"] + 1), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.array().cast("array<string>")),
                 F.slice(
                     lines,
-                    F.when(k > 0, F.get("__gone", k - 1)["hi"] + 2).otherwise(F.lit(1)),
-                    F.greatest(F.coalesce(F.get("__gone", k)["lo"], F.size(lines)) - F.when(k > 0, F.get("__gone", k - 1)["hi"] + 1).otherwise(F.lit(0)), F.lit(0)),
+                    F.when(k > 0, F.get("gone", k - 1)["hi"] + 2).otherwise(F.lit(1)),
+                    F.greatest(F.coalesce(F.get("gone", k)["lo"], F.size(lines)) - F.when(k > 0, F.get("gone", k - 1)["hi"] + 1).otherwise(F.lit(0)), F.lit(0)),
                 ),
             ),
         )
     )
-    kept = F.when(F.col("__gone").isNotNull(), kept).otherwise(lines)
-    both = both.withColumns({"__lines": F.coalesce(F.size(lines), F.lit(0)), "__kept": kept})
-    new = F.when(F.col("__gone").isNotNull(), F.array_join("__kept", "\n")).otherwise(text)
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return both.select(
-        *[F.col(f"`{c}`") for c in names],
-        new.alias("text"),
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("bigint").alias("n_removed"),
+    kept = F.when(F.col("gone").isNotNull(), kept).otherwise(lines)
+    both = both.withColumn("kept", kept)
+    return restore(
+        both,
+        text=F.when(F.col("gone").isNotNull(), F.array_join("kept", "\n")).otherwise(text),
+        n_lines=F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+        n_removed=F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size("kept")).cast("bigint"),
     )
 
 

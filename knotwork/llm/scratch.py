@@ -7,6 +7,7 @@ a folder under /tmp/checkpoints is made and set.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -32,26 +33,53 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        if df.scratch_path in _WRITTEN:
+            _WRITTEN.remove(df.scratch_path)
+            _delete(df.sparkSession, df.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of plans that are done; it does so only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def cleanup(spark: SparkSession) -> None:
     """Remove every table written so far; results that still read them must have been saved before."""
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def guarded(docs: DataFrame):
+    """(rows, restore): ``docs`` under names that cannot clash with an operator's own, and the way back.
+
+    ``rows`` has id (never null), text, th (hash of the text) and the columns c0, c1, ...; ``restore`` takes a
+    table with the latter, and columns to put in place of some.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = F.col(f"c{names.index('text')}").cast("string")
+    rows = plain.withColumns({"id": F.coalesce(F.col(f"c{names.index('doc_id')}").cast("bigint"), F.lit(-(2**63))), "text": text, "th": F.xxhash64(F.coalesce(text, F.lit("")))})
 
+    def restore(kept: DataFrame, **new: Column) -> DataFrame:
+        return kept.select(*[new.get(name, F.col(f"c{i}")).alias(name) for i, name in enumerate(names)], *[c.alias(name) for name, c in new.items() if name not in names])
 
-def need(df: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast; columns beside them never reach an operator, so none can clash."""
-    return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])
+    return rows, restore
 
 
-def doc_key() -> tuple[Column, Column]:
-    """Identity of a document: rows with equal id and text are the same document, handled alike."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id")).alias("k2")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
