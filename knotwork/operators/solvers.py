@@ -53,6 +53,10 @@ def check_set(edges: DataFrame, nodes: list[int], tau: float) -> bool:
         return True
     members = edges.sparkSession.createDataFrame([(v,) for v in nodes], "id long")
     inner = saved(graph.induced(edges, F.broadcast(members)))
+    if inner.count() <= KERNEL_EDGES:
+        ids = sorted(nodes)
+        adj = kernels.masks_of(ids, [tuple(r) for r in inner.select("src", "dst").collect()])  # at most KERNEL_EDGES
+        return kernels.feasible(adj, (1 << len(ids)) - 1, python_threshold("flexi", tau), True)
     least = graph.subset_degrees(inner, members).agg(F.min("degree")).first()[0]
     return least >= python_threshold("flexi", tau)(len(nodes)) and bool(graph.is_connected(inner, members).first()[0])
 
@@ -121,6 +125,12 @@ def fpa(edges: DataFrame, tau: float) -> DataFrame:
 
 
 def _peel_components(edges: DataFrame, tau: float) -> DataFrame:
+    if edges.count() <= KERNEL_EDGES:  # the kernel splits components itself
+
+        def whole(ids, adj, rows):
+            return [(kernels.peel_any(adj, (1 << len(ids)) - 1, python_threshold("flexi", tau)), 0, False)]
+
+        return edges.groupBy(F.lit(0).alias("g")).applyInArrow(lambda rows: _grouped(rows, whole), _NODES)
     comp = graph.components(edges).withColumnRenamed("id", "src")
 
     def work(ids, adj, rows):
@@ -173,13 +183,19 @@ def exact(edges: DataFrame, tau: float, options: SolverOptions | None = None, ti
         return _result(spark, "ebac", tau, [], False, began)
     best = warm_start(edges, tau) if options.warm_start else list(edges.select("src", "dst").first())
     need = python_threshold("flexi", tau)
-    rest = graph.k_core(edges, need(len(best) + 1)) if options.degree_rule else edges
+    small = edges.count() <= KERNEL_EDGES
+    rest = graph.k_core(edges, need(len(best) + 1)) if options.degree_rule and not small else edges
     m = rest.count()
     branches, late = 0, False
     if m and m <= KERNEL_EDGES:
         pairs = [tuple(r) for r in rest.select("src", "dst").collect()]  # at most KERNEL_EDGES
         ids = sorted({v for p in pairs for v in p})
         adj = kernels.masks_of(ids, pairs)
+        if options.degree_rule and small:
+            high = {ids[i] for i, c in enumerate(kernels.core_numbers(adj)) if c >= need(len(best) + 1)}
+            pairs = [p for p in pairs if p[0] in high and p[1] in high]
+            ids = sorted({v for p in pairs for v in p})
+            adj = kernels.masks_of(ids, pairs)
         # order of removal by least degree: a seed then has few later neighbours
         order, left = [], set(range(len(ids)))
         degree = [a.bit_count() for a in adj]
