@@ -5,11 +5,11 @@ counts; the overlap of two sets is at most the sum of the coordinate minima of t
 any set in a box at most the sum of the minima with the box's upper corner.
 
 The top of the index deals points to buckets without losing a pair. Sets of like size are cut into ``k`` blocks by
-a second hash. Two sets that link differ in at most E shingles (E follows from size and threshold), so with
-k = E + 1 + s blocks at least s + 1 blocks hold the same shingles; the content of a block, a point in a
-subspace, is the bucket's key. A set emits its blocks that are not empty, and the empty ones too where it has more than
-s of those, so that every linked pair meets; s is far above the number of empty blocks to be expected. Equal sets are one
-class throughout; a class meets others once.
+a second hash; the content of a block, a point in a subspace, is the bucket's key. Two sets that link differ in at most
+E shingles (E follows from sizes and threshold), hence in at most E blocks. A set with more than E blocks that are not
+empty shares one of these with every set it links with, so it emits those alone; a set with fewer emits its empty blocks
+too, which, as k > E, meets the others of that kind. k is chosen so that hardly any set is of that kind. Equal
+sets are one class throughout; a class meets others once.
 
 In each bucket all members are first compared with the least (a number of pairs linear in the bucket, which settles
 groups of near copies); buckets whose members are then still in several components are joined as R-trees on the
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.links import components
-from knotwork.llm.scratch import materialize
+from knotwork.llm.scratch import discard, guarded, materialize, release
 
 GROUPS = 64
 #: Sizes in one class differ by at most this factor.
@@ -86,7 +86,7 @@ class Sizes:
 
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
-        self.known: dict[int, tuple[int, int]] = {}
+        self.known: dict[int, int] = {}
 
     def group(self, n: int) -> int:
         """The class of size ``n``."""
@@ -105,20 +105,18 @@ class Sizes:
         """Most shingles in which two linked sets differ when the larger is of class ``g``."""
         return 2 * (self.first(g + 1) - 1) * (self.q - self.p) // (self.q + self.p)
 
-    def blocks(self, g: int) -> tuple[int, int]:
-        """(number of blocks of class ``g``, how many of them may be empty in vain)."""
+    def blocks(self, g: int) -> int:
+        """Number of blocks of class ``g``: above what linked sets may differ in, by far more than stay empty."""
         if g not in self.known:
-            least, spare = max(1, self.first(g) * self.p // self.q), 3
-            while True:
-                k = self.differ(g) + 1 + spare
-                empty = k * math.exp(-least / k)
-                need = math.ceil(empty + 6 * math.sqrt(empty)) + 3
-                if need <= spare or spare >= least:
-                    break
-                spare = need
-            self.known[g] = (k, spare)
+            k = self.differ(g) + 1
+            empty = k * math.exp(-(self.first(g + 1) - 1) / k)
+            self.known[g] = k + min(math.ceil(1.5 * empty + 4 * math.sqrt(empty)), k)
         return self.known[g]
 
+    def apart(self, n: int, g: int) -> int:
+        """Most shingles in which a set of ``n`` differs from one of class ``g`` or less with which it links."""
+        return (n + min(n * self.q // self.p, self.first(g + 1) - 1)) * (self.q - self.p) // (self.q + self.p)
+
     def groups(self, n: int) -> list[int]:
         """The classes in which a set of ``n`` meets others: its own, and the next where a linked one may be."""
         g = self.group(n)
@@ -135,7 +133,7 @@ def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     for g in sizes.groups(len(s)):
         if sizes.differ(g) == 0:
             continue  # only equal sets link here
-        k, spare = sizes.blocks(g)
+        k = sizes.blocks(g)
         seed = np.uint64((g * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
         mixed = _mix(s ^ seed)
         block = (mixed >> np.uint64(32)) % np.uint64(k)
@@ -144,7 +142,7 @@ def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         content = np.add.reduceat(_mix(mixed + _G)[order], cut)
         out.append(_mix(_mix(content) + ordered[cut] * _G + seed))
-        if k - len(cut) > spare:
+        if len(cut) <= sizes.apart(len(s), g):
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), ordered[cut])
             out.append(_mix(empty * _G + _mix(np.array([seed]))))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
@@ -193,24 +191,30 @@ def _second_pass(n: int):
     return run
 
 
+def _bounded(sizes: Sizes):
+    """Pairs that the sum of coordinate minima leaves."""
+
+    def run(batches):
+        for batch in batches:
+            points = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, GROUPS).astype(np.int64) for c in ("a_point", "b_point")]
+            n, both = sum(p.sum(axis=1) for p in points), np.minimum(*points).sum(axis=1)
+            good = pa.array(sizes.q * both >= sizes.p * (n - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    return run
+
+
 def _verify(sizes: Sizes):
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            out = []
+            a, b, out = batch.column("a"), batch.column("b"), []
             for i in range(batch.num_rows):
-                pa_, pb = (np.frombuffer(batch.column(c)[i].as_py(), "<u4") for c in ("a_point", "b_point"))
-                na, nb = int(pa_.sum()), int(pb.sum())
-                if not sizes.linked(na, nb, min(na, nb, int(np.minimum(pa_, pb).sum()))):
-                    continue
-                sa, sb = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("a_shingles", "b_shingles"))
-                if len(sa) > len(sb):
-                    sa, sb = sb, sa
+                sa, sb = sorted((np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("a_shingles", "b_shingles")), key=len)
                 at = np.searchsorted(sb, sa)
-                both = int((sb[np.minimum(at, len(sb) - 1)] == sa).sum())
-                if sizes.linked(na, nb, both):
+                if sizes.linked(len(sa), len(sb), int((sb[np.minimum(at, len(sb) - 1)] == sa).sum())):
                     out.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], names=["a", "b"])
+            rows = pa.array(out, pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], names=["a", "b"])
 
     return run
 
@@ -271,8 +275,10 @@ def _bucket_join(sizes: Sizes):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("point").alias(f"{x}_point"), F.col("shingles").alias(f"{x}_shingles"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_point", "b_point", "a_shingles", "b_shingles").mapInArrow(_verify(sizes), "a long, b long")
+    side = lambda x, what: sets.select(F.col("cid").alias(x), F.col(what).alias(f"{x}_{what}"))
+    near = pairs.join(side("a", "point"), "a").join(side("b", "point"), "b").select("a", "b", "a_point", "b_point").mapInArrow(_bounded(sizes), "a long, b long")
+    near = materialize(near, "near-pairs")
+    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(_verify(sizes), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
@@ -280,13 +286,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     sizes = Sizes(*threshold)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = rows.mapInArrow(_first_pass(n, sizes), "doc_id long, n long, c1 long, c2 long, sigs array<long>")
-    first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "shingle-keys")
+    keyed = materialize(first.withColumn("row", F.monotonically_increasing_id()), "shingle-keys")
+    first = materialize(keyed.drop("sigs"), "shingle-rows")
     # equal sets are one class, named by the least row number
     classes = materialize(first.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("rep")), "shingle-classes")
-    buckets = first.select("row", "sigs").join(classes.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), F.explode("sigs").alias("sig"))
+    n_rows, n_classes = first.where("n > 0").count(), classes.count()
+    if n_rows - n_classes <= BROADCAST_KEYS:  # the rows that repeat a set are few: the others' keys stay where they are
+        again = first.where("n > 0").select("row").join(classes.select(F.col("cid").alias("row")), "row", "left_anti")
+        named = keyed.select("row", "sigs").join(F.broadcast(again), "row", "left_anti")
+    else:
+        named = keyed.select("row", "sigs").join(classes.select(F.col("cid").alias("row")), "row")
+    buckets = named.select(F.col("row").alias("cid"), F.explode("sigs").alias("sig"))
     met = materialize(buckets.groupBy("sig").agg(F.count("*").alias("size"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("size > 1"), "buckets")
     large = met.where("size > 2").select("sig", "size", F.col("a").alias("leader"))
     many = materialize(buckets.join(F.broadcast(large) if large.count() <= BROADCAST_KEYS else large, "sig"), "bucket-members")
+    discard(keyed)
+    release(docs.sparkSession)
     pairs = materialize(met.where("size = 2").select("a", "b").unionByName(many.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
@@ -300,6 +315,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
         sets = materialize(sets.dropDuplicates(["cid"]), "shingle-sets")
 
     links = materialize(_verified(pairs, sets, sizes), "links")
+    release(docs.sparkSession)
     found = components(links)
     # buckets that still hold several components: each set of members once, joined as R-trees
     comp = F.coalesce("root", "cid").alias("comp")
@@ -319,7 +335,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(name, "root").select("c1", "c2", "component_id")
     full = first.where("n > 0").select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = materialize(full.unionByName(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "shingle-components")
+    discard(first, classes, met, many, pairs, wanted, sets, links, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -327,13 +345,12 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10
 
     Of repeated rows of the document that stays one stays; documents without words all stay.
     """
-    names = docs.columns
     found = jaccard_components(docs, n, threshold)
-    keep = found.where("n_shingles > 0 and (component_id = doc_id or component_id is null)").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__k")).distinct()
-    empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__e": empty})
-    kept = keyed.where("not __e").join(keep, "__k", "left_semi")
-    again = kept.groupBy("__k").agg(F.count("*").alias("__n")).where("__n > 1").select("__k")
-    once = kept.join(again, "__k", "left_anti")
-    twice = kept.join(again, "__k", "left_semi").dropDuplicates(["__k"])
-    return once.unionByName(twice).unionByName(keyed.where("__e")).select(*[F.col(f"`{c}`") for c in names])
+    keep = found.where("n_shingles > 0 and (component_id = doc_id or component_id is null)").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id")).distinct()
+    rows, restore = guarded(docs)
+    rows = rows.withColumn("empty", ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    kept = rows.where("not empty").join(keep, "id", "left_semi")
+    again = kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    once = kept.join(again, "id", "left_anti")
+    twice = kept.join(again, "id", "left_semi").dropDuplicates(["id"])
+    return restore(once.unionByName(twice).unionByName(rows.where("empty")))
