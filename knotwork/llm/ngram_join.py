@@ -169,8 +169,8 @@ def _first_pass(n: int, sizes: Sizes):
                 sets = shingle_sets(part.column("text").to_pylist(), n, hashes)
                 keys = [class_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([signatures(s, sizes).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "c1", "c2", "sigs"],
+                    [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([signatures(s, sizes).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "n", "c1", "c2", "sigs"],
                 )
 
     return run
@@ -281,15 +281,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
     return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(_verify(sizes), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document row; sets link from a Jaccard similarity of p / q."""
+def _joined(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(first, named, tables): doc_id, th, n, c1, c2 of every row; c1, c2, rep, root of every class; what to discard.
+
+    ``rep`` is the class's least (no_id, doc_id, th), where th is the text's hash: an id alone may stand for several
+    texts. ``root`` is one number for each component.
+    """
     sizes = Sizes(*threshold)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = rows.mapInArrow(_first_pass(n, sizes), "doc_id long, n long, c1 long, c2 long, sigs array<long>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    first = rows.mapInArrow(_first_pass(n, sizes), "doc_id long, th long, n long, c1 long, c2 long, sigs array<long>")
     keyed = materialize(first.withColumn("row", F.monotonically_increasing_id()), "shingle-keys")
     first = materialize(keyed.drop("sigs"), "shingle-rows")
     # equal sets are one class, named by the least row number
-    classes = materialize(first.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("rep")), "shingle-classes")
+    classes = materialize(first.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep")), "shingle-classes")
     n_rows, n_classes = first.where("n > 0").count(), classes.count()
     if n_rows - n_classes <= BROADCAST_KEYS:  # the rows that repeat a set are few: the others' keys stay where they are
         again = first.where("n > 0").select("row").join(classes.select(F.col("cid").alias("row")), "row", "left_anti")
@@ -307,8 +312,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = materialize(classes.join(wanted, "cid", "left_semi"), "wanted-classes")
     n_wanted = wanted.count()
-    by_id = wanted.select("cid", "c1", "c2", F.coalesce("rep", F.lit(-(2**63))).alias("rep"))
-    texts = rows.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("rep")).join(F.broadcast(by_id) if n_wanted <= BROADCAST_CLASSES else by_id, "rep")
+    by_id = wanted.select("cid", "c1", "c2", F.coalesce("rep.doc_id", F.lit(-(2**63))).alias("id"), F.col("rep.th").alias("th"))
+    texts = rows.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th").join(F.broadcast(by_id) if n_wanted <= BROADCAST_CLASSES else by_id, ["id", "th"])
     sets = texts.select("cid", "c1", "c2", "text").mapInArrow(_second_pass(n), "cid long, n long, point binary, shingles binary")
     sets = materialize(sets, "shingle-sets")
     if sets.count() > n_wanted:  # a repeated row of a representative gave the same set again
@@ -332,25 +337,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
         extra = _verified(more, sets, sizes)
         found = components(extra.unionByName(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "rep", F.coalesce("root", "cid").alias("root"))
-    name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return first, named, [first, classes, met, many, pairs, wanted, sets, links, more]
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document row; sets link from a Jaccard similarity of p / q."""
+    first, named, tables = _joined(docs, n, threshold)
+    name = named.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
     named = named.join(name, "root").select("c1", "c2", "component_id")
     full = first.where("n > 0").select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = materialize(full.unionByName(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "shingle-components")
-    discard(first, classes, met, many, pairs, wanted, sets, links, more)
+    discard(*tables)
     return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
     """``docs`` with the document of least id of each component, and every document that links with none.
 
-    Of repeated rows of the document that stays one stays; documents without words all stay.
+    Of an id's texts the least by hash counts; ids come before null. Repeated rows of the document that stays, equal in
+    id and text, are one; unlike texts of one id or of none are told apart. Documents without words all stay.
     """
-    found = jaccard_components(docs, n, threshold)
-    keep = found.where("n_shingles > 0 and (component_id = doc_id or component_id is null)").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id")).distinct()
+    _, named, tables = _joined(docs, n, threshold)
+    keep = named.groupBy("root").agg(F.min("rep").alias("rep")).select(F.coalesce("rep.doc_id", F.lit(-(2**63))).alias("id"), F.col("rep.th").alias("th"))
+    keep = materialize(keep.distinct(), "kept-texts")
+    discard(*tables)
     rows, restore = guarded(docs)
     rows = rows.withColumn("empty", ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    kept = rows.where("not empty").join(keep, "id", "left_semi")
-    again = kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    once = kept.join(again, "id", "left_anti")
-    twice = kept.join(again, "id", "left_semi").dropDuplicates(["id"])
+    kept = rows.where("not empty").join(keep, ["id", "th"], "left_semi")
+    again = kept.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select("id", "th")
+    once = kept.join(again, ["id", "th"], "left_anti")
+    twice = kept.join(again, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     return restore(once.unionByName(twice).unionByName(rows.where("empty")))

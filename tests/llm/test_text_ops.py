@@ -177,6 +177,15 @@ def test_ngram_join_keeps_one_of_each(make, prose):
     assert got.columns == make([]).columns and ngram_join.jaccard_components(make([])).count() == 0
 
 
+def test_ngram_join_tells_texts_of_one_id_apart(make, prose):
+    near = prose(11, 90)
+    rows = [(None, prose(20 + i, 60), "en", "s") for i in range(4)] + [(None, prose(20, 60), "en", "s"), (2, near, "en", "s"), (6, near + " tail", "en", "s"), (6, prose(12, 70), "en", "s")]
+    rows += [(8, prose(13, 70), "en", "s"), (8, prose(14, 70), "en", "s"), (None, prose(15, 90), "en", "s"), (9, prose(15, 90) + " end", "en", "s")]
+    got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(make(rows)).collect()]
+    want = [(i, t) for i, t, *_ in rows[:4] + [rows[5]] + rows[7:10] + rows[11:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_rtree_bound_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.poisson(3, (150, ngram_join.GROUPS)).astype(np.int64)
