@@ -45,6 +45,13 @@ def floor_root(x, tau) -> Column:
     return F.when(x <= 0, F.lit(0).cast("bigint")).otherwise(F.floor(F.least(F.lit(float(INT_MAX)), F.pow(x.cast("double"), F.lit(1.0) / _col(tau)))))
 
 
+def largest_size(degree, tau) -> Column:
+    """The largest k with ``floor_pow(k) <= degree``: the root of degree + 1, corrected by one."""
+    degree, tau = _col(degree), _col(tau)
+    k = F.floor(F.pow(degree.cast("double") + 1, F.lit(1.0) / tau))
+    return F.when(floor_pow(k + 1, tau) <= degree, k + 1).when(floor_pow(k, tau) <= degree, k).otherwise(k - 1)
+
+
 def model_threshold(model, param, n) -> Column:
     """Least degree inside a set of ``n`` under a model (flexi, quasi, kplex); 0 up to one vertex."""
     model, param, n = _col(model), _col(param), _col(n)

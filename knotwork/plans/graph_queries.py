@@ -40,8 +40,12 @@ _TAUS = ", ".join(f"({t}::double)" for t in TAUS)
 
 
 # ---- thresholds -------------------------------------------------------------------------------------------------
+def _taus(spark):
+    return spark.createDataFrame([(t,) for t in TAUS], "tau double")  # a fixed list of five
+
+
 def _grid(spark, n, name="k"):
-    return spark.range(n).select(F.col("id").alias(name)).crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in TAUS], "tau double")))  # a fixed list of five
+    return spark.range(n).select(F.col("id").alias(name)).crossJoin(F.broadcast(_taus(spark)))
 
 
 @query(sql=f"select k::bigint k, tau, case when k <= 0 then 0 else floor(pow(k, tau)) end::bigint v from range(0, 2000) t(k), (values {_TAUS}) x(tau)")
@@ -202,7 +206,7 @@ def degeneracy(e):
 def degeneracy_bound(e):
     """Largest size that the degeneracy allows, by tau."""
     top = graph.core_numbers(e).agg(F.max("core").alias("m"))
-    return _grid(e.sparkSession, 2000).where("k >= 1").crossJoin(F.broadcast(top)).where(th.floor_pow(F.col("k"), F.col("tau")) <= F.col("m")).groupBy("tau").agg(F.max("k").alias("bound"))  # one row
+    return _taus(e.sparkSession).crossJoin(F.broadcast(top.where("m is not null"))).select("tau", th.largest_size(F.col("m"), F.col("tau")).alias("bound"))  # one row
 
 
 @query(G, f", {_CC} select id, comp from cc")
@@ -283,11 +287,10 @@ def is_articulation(e):
 @query(G, f"""{_RUN}, s as (select degree, sum(c) over (order by degree desc rows unbounded preceding) from_ from h)
   select tau, max(k)::bigint bound from range(1, 2000) t(k), (values {_TAUS}) x(tau) where coalesce((select max(from_) from s where degree >= floor(pow(k, tau))), 0) >= k group by tau""")
 def size_upper_bound(e):
-    """Largest s with at least s vertices of the degree that s asks for, by tau: a range join of sizes with suffix counts."""
-    h = saved(graph.running_histogram(e).select("degree", "n_from"))
-    grid = _grid(e.sparkSession, 2000).where("k >= 1").withColumn("need", th.floor_pow(F.col("k"), F.col("tau")))
-    met = grid.join(F.broadcast(h), F.col("degree") >= F.col("need")).groupBy("k", "tau").agg(F.max("n_from").alias("n"))  # one row per distinct degree
-    return met.where("n >= k").groupBy("tau").agg(F.max("k").alias("bound"))
+    """Largest s with at least s vertices of the degree that s asks for, by tau: the best over degrees of the lesser of suffix count and largest size."""
+    h = graph.running_histogram(e).select("degree", "n_from")
+    met = h.crossJoin(F.broadcast(_taus(e.sparkSession)))  # five rows
+    return met.groupBy("tau").agg(F.max(F.least("n_from", th.largest_size(F.col("degree"), F.col("tau")))).alias("bound"))
 
 
 _SETS = ((1, "flexi", 0.8, (0, 1, 2, 3, 4, 5)), (2, "quasi", 0.5, (0, 1, 2, 3, 4, 5, 6, 7)), (3, "kplex", 4.0, (5, 6, 7, 8, 9)), (4, "flexi", 0.5, (10,)), (5, "flexi", 0.3, (1, 5, 9, 13, 17, 21)))

@@ -4,6 +4,7 @@ import pytest
 
 from knotwork.functions.thresholds import python_threshold
 from knotwork.operators import community, dynamic, graph, kernels, solvers
+from knotwork.plans import graph_queries
 from knotwork.sources import edges as io
 from knotwork.streaming import components as stream
 
@@ -113,3 +114,23 @@ def test_missing_seed_and_restriction(spark, df):
     asks = spark.createDataFrame([(0, 2, "flexi", 0.8, None), (1, 77, "flexi", 0.8, None), (2, 2, "kplex", 1.0, [2, 3, 4, 99])], "query_id long, seed long, model string, param double, restrict array<long>")
     got = {r.query_id: (r["size"], r.valid) for r in community.community_search(df(GRAPHS["bowtie"]), asks).collect()}
     assert got == {0: (3, True), 1: (0, False), 2: (3, True)}
+
+
+def test_size_bounds_have_no_cap(spark, df):
+    wide = [(0, i) for i in range(1, 2600)] + [(1, i) for i in range(2, 2600)]
+    for pairs in (wide, list(combinations(range(61), 2)), GRAPHS["bowtie"]):
+        adj = {}
+        for a, b in pairs:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+        ids = sorted(adj)
+        top = max(kernels.core_numbers(kernels.masks_of(ids, pairs)))
+        degrees = sorted((len(x) for x in adj.values()), reverse=True)
+        e = df(pairs)
+        low = dict(graph_queries.degeneracy_bound(e).collect())
+        high = dict(graph_queries.size_upper_bound(e).collect())
+        for tau in graph_queries.TAUS:
+            need = python_threshold("flexi", tau)
+            fits = [k for k in range(2, 6000) if need(k) <= top]
+            assert low[tau] == max(fits) < 5999
+            assert high[tau] == max(k for k in range(1, len(degrees) + 1) if k == 1 or degrees[k - 1] >= need(k))
