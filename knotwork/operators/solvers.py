@@ -146,14 +146,39 @@ def mgpp(edges: DataFrame, tau: float) -> DataFrame:
     return _result(edges.sparkSession, "mgpp", tau, nodes, check_set(edges, nodes, tau), began)
 
 
+def spread_balls(edges: DataFrame, seeds: int, hops: int, cap: int) -> DataFrame:
+    """key, id: the capped balls of up to ``seeds`` vertices of degree 2 or more.
+
+    A seed is the vertex of largest degree (then least id) that no earlier seed's ball holds. A round takes the next
+    vertices by that order; those in a ball of an earlier one of the round are dropped, so the seeds are those of taking
+    one at a time.
+    """
+    spark = edges.sparkSession
+    left = degree = saved(graph.degrees(edges).where("degree >= 2"))
+    balls, run, batch = spark.createDataFrame([], "key long, id long"), 0, 4
+    while run < seeds:
+        order = [r["id"] for r in left.orderBy(F.desc("degree"), "id").limit(min(batch, seeds - run)).collect()]
+        if not order:
+            break
+        top = spark.createDataFrame([(v, v) for v in order], "key long, id long")
+        found = graph.capped_ball(edges, top, hops, cap)
+        inside = {tuple(r) for r in found.join(F.broadcast(top.select("id")), "id", "left_semi").select("key", "id").collect()}  # at most seeds squared
+        taken = []
+        for v in order:
+            if not any((u, v) in inside for u in taken):
+                taken.append(v)
+        balls = saved(balls.unionByName(found.where(F.col("key").isin(taken)).select("key", "id")))
+        left = saved(degree.join(balls.select("id").distinct(), "id", "left_anti"))
+        run, batch = run + len(taken), 2 * len(taken)
+    return balls
+
+
 def multi_seed(edges: DataFrame, tau: float, seeds: int = 40, hops: int = 2, cap: int = 5000) -> DataFrame:
-    """The best of ``fpa`` and greedy peeling in the balls around vertices of high degree."""
+    """The best of ``fpa`` and greedy peeling in balls around vertices of high degree, each outside all earlier balls."""
     began = time.monotonic()
     edges = saved(edges)
     best = peel_core(edges, check_tau(tau), keep_first=True)
-    top = graph.top_degrees(edges, seeds).select(F.col("id").alias("key"), "id")
-    balls = graph.capped_ball(edges, saved(top), hops, cap)
-    inner = graph.keyed_induced(edges, balls)
+    inner = graph.keyed_induced(edges, spread_balls(edges, seeds, hops, cap))
 
     def work(ids, adj, rows):
         return [(kernels.peel_any(adj, (1 << len(ids)) - 1, python_threshold("flexi", tau)), 0, False)]

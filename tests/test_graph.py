@@ -134,3 +134,18 @@ def test_size_bounds_have_no_cap(spark, df):
             fits = [k for k in range(2, 6000) if need(k) <= top]
             assert low[tau] == max(fits) < 5999
             assert high[tau] == max(k for k in range(1, len(degrees) + 1) if k == 1 or degrees[k - 1] >= need(k))
+
+
+def test_seeds_lie_outside_earlier_balls(df):
+    hub = [(a, 45 + b) for a in range(45) for b in range(45)]  # all degrees above the clique's, no set above 2 at tau 0.9
+    clique = [(200 + a, 200 + b) for a, b in combinations(range(10), 2)]
+    row = solvers.multi_seed(df(hub + clique), 0.9).first()
+    assert (row["size"], row["valid"]) == (10, True)
+    trail = [(i, i + 1) for i in range(12)] + [(3, 20), (4, 21), (9, 22)]
+    near = {v: {b if a == v else a for a, b in trail if v in (a, b)} for v in {v for p in trail for v in p}}
+    covered, want = set(), []
+    for v in sorted(near, key=lambda v: (-len(near[v]), v)):
+        if v not in covered and len(near[v]) >= 2 and len(want) < 3:
+            want.append(v)
+            covered |= {v} | near[v] | {x for w in near[v] for x in near[w]}
+    assert sorted({r.key for r in solvers.spread_balls(df(trail), 3, 2, 5000).collect()}) == sorted(want)
