@@ -14,8 +14,8 @@ TAUS = (0.5, 0.6, 0.75, 0.8, 0.9)
 QUERIES, ORACLES = {}, {}
 
 
-def query(view: str | None = None, sql: str | None = None):
-    """Register a function; with a view it gets that graph's edges, else (spark, sf_dir)."""
+def query(view: str | None = None, sql: str | None = None, sql_view: str | None = None):
+    """Register a function; with a view it gets that graph's edges, else (spark, sf_dir). The SQL may be over a view of its own."""
 
     def add(f):
         name = f.__name__
@@ -26,7 +26,7 @@ def query(view: str | None = None, sql: str | None = None):
         run.__doc__, run.__name__ = f.__doc__, name
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = f"with recursive e as ({SQL[view]}), d as (select a u, b v from e union all select b, a from e) {sql}" if view else sql
+            ORACLES[name] = f"with recursive e as ({SQL[sql_view or view]}), d as (select a u, b v from e union all select b, a from e) {sql}" if view else sql
         return f
 
     return add
@@ -335,52 +335,54 @@ def _bitmask_sql(need, seed=None):
 
 
 _F8, _F9, _Q8, _K2 = "floor(pow(k, 0.8::double))", "floor(pow(k, 0.9::double))", "ceil(0.8::double * (k - 1) - 1e-9)", "greatest(0, k - 2)"
+#: The SQL lists the subsets of ids below 20 only and is kept as it is; the queries run on the whole graph, of at most 25 vertices.
 S = "small_nation"
+NATIONS = 25
 
 
-@query(S, _bitmask_sql(_F8))
+@query("nation", _bitmask_sql(_F8), S)
 def exact_flexi_bitmask(e):
     """Largest flexi-clique (0.8) by listing all subsets."""
-    return solvers.bitmask(e, "flexi", 0.8)
+    return solvers.bitmask(e, "flexi", 0.8, limit=NATIONS)
 
 
-@query(S, _bitmask_sql(_Q8))
+@query("nation", _bitmask_sql(_Q8), S)
 def exact_quasi(e):
     """Largest quasi-clique (0.8)."""
-    return solvers.bitmask(e, "quasi", 0.8)
+    return solvers.bitmask(e, "quasi", 0.8, limit=NATIONS)
 
 
-@query(S, _bitmask_sql(_K2))
+@query("nation", _bitmask_sql(_K2), S)
 def exact_kplex(e):
     """Largest 2-plex."""
-    return solvers.bitmask(e, "kplex", 2.0)
+    return solvers.bitmask(e, "kplex", 2.0, limit=NATIONS)
 
 
-@query(S, _bitmask_sql(_F8, 3))
+@query("nation", _bitmask_sql(_F8, 3), S)
 def exact_seeded_flexi(e):
     """Largest flexi-clique (0.8) with vertex 3."""
-    return solvers.bitmask(e, "flexi", 0.8, 3)
+    return solvers.bitmask(e, "flexi", 0.8, 3, limit=NATIONS)
 
 
-@query(S, _bitmask_sql(_Q8, 3))
+@query("nation", _bitmask_sql(_Q8, 3), S)
 def exact_seeded_quasi(e):
     """Largest quasi-clique (0.8) with vertex 3."""
-    return solvers.bitmask(e, "quasi", 0.8, 3)
+    return solvers.bitmask(e, "quasi", 0.8, 3, limit=NATIONS)
 
 
-@query(S, _bitmask_sql(_K2, 3))
+@query("nation", _bitmask_sql(_K2, 3), S)
 def exact_seeded_kplex(e):
     """Largest 2-plex with vertex 3."""
-    return solvers.bitmask(e, "kplex", 2.0, 3)
+    return solvers.bitmask(e, "kplex", 2.0, 3, limit=NATIONS)
 
 
-@query(S, _bitmask_sql(_F8))
+@query("nation", _bitmask_sql(_F8), S)
 def exact_flexi_se(e):
     """Largest flexi-clique (0.8) by set enumeration."""
     return solvers.set_enumeration(e, 0.8)
 
 
-@query(S, _bitmask_sql(_F8))
+@query("nation", _bitmask_sql(_F8), S)
 def exact_flexi_cp(e):
     """Largest flexi-clique (0.8) by branch and bound from root seeds."""
     return solvers.exact(e, 0.8).select("size")
@@ -388,32 +390,32 @@ def exact_flexi_cp(e):
 
 # ---- heuristics: a valid set between 2 and the exact size -------------------------------------------------------
 def _bounded(e, found):
-    best = solvers.bitmask(e, "flexi", 0.8).withColumnRenamed("size", "best")
+    best = solvers.bitmask(e, "flexi", 0.8, limit=NATIONS).withColumnRenamed("size", "best")
     return found.crossJoin(F.broadcast(best)).select("valid", ((F.col("size") >= 2) & (F.col("size") <= F.col("best"))).alias("in_bounds"))  # one row each
 
 
 _TRUE = "select true as valid, true as in_bounds"
 
 
-@query(S, _TRUE)
+@query("nation", _TRUE, S)
 def npa(e):
     """Core peeling that spares cut vertices."""
     return _bounded(e, solvers.npa(e, 0.8))
 
 
-@query(S, _TRUE)
+@query("nation", _TRUE, S)
 def fpa(e):
     """Core peeling with the core as floor."""
     return _bounded(e, solvers.fpa(e, 0.8))
 
 
-@query(S, _TRUE)
+@query("nation", _TRUE, S)
 def mgpp(e):
     """Greedy peeling of components."""
     return _bounded(e, solvers.mgpp(e, 0.8))
 
 
-@query(S, _TRUE)
+@query("nation", _TRUE, S)
 def multiseed(e):
     """Greedy peeling in balls around high degrees."""
     return _bounded(e, solvers.multi_seed(e, 0.8))
@@ -437,7 +439,7 @@ def _batch_sql(rows):
   select q::bigint query_id, seed::bigint seed, coalesce(max(k), 1)::bigint size, true as valid from a left join mm on (x >> seed) & 1 = 1 and md >= {need} group by q, seed"""
 
 
-@query(S, _batch_sql(_BATCH))
+@query("nation", _batch_sql(_BATCH), S)
 def community_batch(e):
     """Largest sets around seeds under three models, in one batch."""
     return community.community_search(e, _asked(e, _BATCH), hops=8, timeout=60.0).select("query_id", "seed", "size", "valid")

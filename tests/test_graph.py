@@ -149,3 +149,32 @@ def test_seeds_lie_outside_earlier_balls(df):
             want.append(v)
             covered |= {v} | near[v] | {x for w in near[v] for x in near[w]}
     assert sorted({r.key for r in solvers.spread_balls(df(trail), 3, 2, 5000).collect()}) == sorted(want)
+
+
+def test_exact_and_heuristic_queries_run_on_every_nation(spark, tmp_path):
+    strong = list(combinations((3, 7, 20, 21, 22, 23, 24), 2)) + [(3, 11), (7, 11), (11, 24)]
+    trades = [(a, b) for a, b in strong for _ in range(3)] + [(a, 12) for a in range(10)]
+    table = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    table("customer", [(v, v) for v in range(25)], "c_custkey long, c_nationkey int")
+    table("supplier", [(v, v) for v in range(25)], "s_suppkey long, s_nationkey int")
+    table("orders", [(i, a) for i, (a, _) in enumerate(trades)], "o_orderkey long, o_custkey long")
+    table("lineitem", [(i, b) for i, (_, b) in enumerate(trades)], "l_orderkey long, l_suppkey long")
+    ids = sorted({v for p in strong for v in p})
+    adj = kernels.masks_of(ids, strong)
+
+    def largest(model, param, seed=None):
+        need = python_threshold(model, param)
+        sets = [x for x in range(1, 1 << len(ids)) if seed is None or x >> ids.index(seed) & 1]
+        return max(x.bit_count() for x in sets if kernels.feasible(adj, x, need, model == "flexi"))
+
+    run = lambda name: graph_queries.QUERIES[name](spark, str(tmp_path))
+    best = largest("flexi", 0.8)
+    assert best >= 7
+    for name in ("exact_flexi_bitmask", "exact_flexi_se", "exact_flexi_cp"):
+        assert run(name).first()["size"] == best
+    assert [run(f"exact_{m}").first()["size"] for m in ("quasi", "kplex")] == [largest("quasi", 0.8), largest("kplex", 2.0)]
+    assert [run(f"exact_seeded_{m}").first()["size"] for m in ("flexi", "quasi", "kplex")] == [largest("flexi", 0.8, 3), largest("quasi", 0.8, 3), largest("kplex", 2.0, 3)]
+    for name in ("npa", "fpa", "mgpp", "multiseed"):
+        assert tuple(run(name).first()) == (True, True)
+    got = {r.query_id: r["size"] for r in run("community_batch").collect()}
+    assert got == {q: largest(m, p, s) for q, s, m, p, _ in graph_queries._BATCH}
