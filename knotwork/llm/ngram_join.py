@@ -118,9 +118,8 @@ class Sizes:
         return (n + min(n * self.q // self.p, self.first(g + 1) - 1)) * (self.q - self.p) // (self.q + self.p)
 
     def groups(self, n: int) -> list[int]:
-        """The classes in which a set of ``n`` meets others: its own, and the next where a linked one may be."""
-        g = self.group(n)
-        return [g] if self.group(n * self.q // self.p) == g else [g, g + 1]
+        """The classes in which a set of ``n`` meets others: its own, and those above where a linked one may be."""
+        return list(range(self.group(n), self.group(n * self.q // self.p) + 1))
 
     def linked(self, a: int, b: int, both: int) -> bool:
         """Whether sets of sizes a and b with ``both`` in common reach the threshold."""

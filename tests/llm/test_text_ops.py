@@ -186,6 +186,16 @@ def test_ngram_join_tells_texts_of_one_id_apart(make, prose):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_linked_sets_of_distant_sizes_share_a_bucket():
+    rng = np.random.default_rng(5)
+    for p, q, n in ((1, 2, 100), (1, 2, 157), (2, 5, 80), (1, 10, 60), (8, 10, 100)):
+        sizes = ngram_join.Sizes(p, q)
+        large = np.unique(rng.integers(0, 2**63, n * q // p).astype(np.uint64))
+        small = np.sort(rng.choice(large, n, replace=False))
+        assert sizes.linked(n, len(large), n)
+        assert len(np.intersect1d(ngram_join.signatures(small, sizes), ngram_join.signatures(large, sizes)))
+
+
 def test_rtree_bound_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.poisson(3, (150, ngram_join.GROUPS)).astype(np.int64)
