@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.sources.edges import arcs
-from knotwork.sources.scratch import saved
+from knotwork.sources.scratch import discard, saved
+
+#: Links from which on the least neighbours are a table of their own, so that Spark can split a hub's rows in the join.
+HUB_LINKS = 20_000
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -67,8 +70,11 @@ def non_neighbors(edges: DataFrame, of: int, members: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, comp (least id of the component), by alternating large and small stars until nothing changes."""
-    state, seen = saved(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))), None
+    """id, comp (least id of the component), by alternating large and small stars until nothing changes.
+
+    Each round replaces links by links to smaller neighbours; the rounds grow with the logarithm of a component's size.
+    """
+    state, seen = saved(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b")), None
     while True:
         mark = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
         if mark == seen:
@@ -76,10 +82,15 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        old = [state]
+        if mark[0] >= HUB_LINKS:
+            least = saved(least)
+            old.append(least)
         far = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         far = far.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = far.groupBy("a").agg(F.min("b").alias("m"))
         state = saved(far.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(*old)
     return state.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 

@@ -1,7 +1,8 @@
 """Tables in shared storage that cut a plan's lineage.
 
-Results of loop rounds are written as Parquet under the folder in ``spark.checkpoint.dir`` and read back; a
-lost executor loses none of them. The setting is only made here where it is unset, as in tests.
+Results of steps and loop rounds are written as Parquet under the folder in ``spark.checkpoint.dir`` and read back; a
+lost executor loses none of them. The shuffle files of a step are removed once its table is written. Only a
+session on a local master may lack the setting, as in tests; it then gets a folder under /tmp/checkpoints.
 """
 
 from __future__ import annotations
@@ -11,19 +12,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a new one under /tmp/checkpoints where none is set."""
+    """The cluster's shared folder, or on a local master a new one under /tmp/checkpoints where none is set."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         os.makedirs(given, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, tag: str = "round") -> DataFrame:
     """``df``, written once and reread."""
-    path = f"{checkpoint_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
