@@ -1,35 +1,13 @@
-"""Connected components of a table of links, by alternating large and small stars.
-
-Each round replaces links by links to smaller neighbours (aggregate, then equi-join; no neighbour lists), and
-writes them to shared storage; the rounds grow with the logarithm of a component's size.
-"""
+"""Connected components of a table of links between classes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.scratch import materialize
-
-
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+from knotwork.operators import graph
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (a, b: long, unequal, any order); ``root`` is the least node reachable."""
-    now = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
-    state = _state(now)
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # a node without a smaller neighbour keeps its links; one that has some links to the least of them
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "links")
-        new = _state(now)
-        if new == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = new
+    return graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"id": "node", "comp": "root"})

@@ -11,10 +11,12 @@ empty shares one of these with every set it links with, so it emits those alone;
 too, which, as k > E, meets the others of that kind. k is chosen so that hardly any set is of that kind. Equal
 sets are one class throughout; a class meets others once.
 
-In each bucket all members are first compared with the least (a number of pairs linear in the bucket, which settles
-groups of near copies); buckets whose members are then still in several components are joined as R-trees on the
-count vectors, in blocks of members, skipping pairs of one component. Pairs within the bound are verified on
-the shingles. No step brings a group into one task or lists its pairs once it is connected.
+Keys travel as sorted arrays, one per range of keys. A batch names each key's least member leader and sends only the
+leader to the key's range, the others to any range, so a key gets at most one entry a batch however many sets
+hold it. Members are first compared with their leaders (a number of pairs linear in the buckets, which settles
+groups of near copies). Buckets whose members are then still in several components are joined as R-trees on the
+count vectors, in blocks of members; a block verifies the pairs within the bound on the shingles at once, passes over
+pairs that it has already connected, and returns a forest of links: fewer rows than it has members.
 
 Defined results: null or wordless texts have an empty set and link with nothing; with fewer words than a shingle the
 whole sequence is one; equal rows link with each other; a null id counts for no component's name unless all
@@ -27,22 +29,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.links import components
-from knotwork.llm.scratch import discard, guarded, materialize, release
+from knotwork.llm.scratch import discard, guarded, materialize
 
 GROUPS = 64
 #: Sizes in one class differ by at most this factor.
 RATIO = 1.4
 #: Classes whose keys may be broadcast (about 40 bytes each); with more, texts are joined by shuffle.
 BROADCAST_CLASSES = 400_000
-#: Keys of buckets with over two members that may be broadcast (about 30 bytes each), else they are joined by shuffle.
-BROADCAST_KEYS = 500_000
-#: Members of a bucket that one task joins with as many others.
-MEMBERS = 512
+#: Rows that repeat a set, as many as may be broadcast (8 bytes each); with more, keys are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Ranges of keys: at least so many, and one for each so many keys. Keys that are sorted at once.
+RANGES, RANGE_KEYS, PACK_KEYS = 128, 200_000, 500_000
+#: Members of a bucket that one task joins with as many others, and bytes of their shingles.
+MEMBERS, TILE_BYTES = 512, 16 << 20
+#: Members of a cluster that one task verifies, and bytes of their shingles; larger ones are verified by buckets.
+CLUSTER, CLUSTER_BYTES = 2048, 32 << 20
 LEAF = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -58,9 +65,11 @@ class _Hashes(dict):
     """Word -> 64-bit hash, for the words met lately."""
 
     def __missing__(self, word):
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -159,17 +168,21 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(20)) % np.uint64(GROUPS), minlength=GROUPS).astype("<u4")
 
 
+def _column(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
 def _first_pass(n: int, sizes: Sizes):
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 sets = shingle_sets(part.column("text").to_pylist(), n, hashes)
                 keys = [class_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([signatures(s, sizes).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "th", "n", "c1", "c2", "sigs"],
+                    [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _column([counts(s).tobytes() for s in sets]), _column([signatures(s, sizes).astype("<u8").tobytes() if len(s) else b"" for s in sets])],
+                    names=["doc_id", "th", "n", "c1", "c2", "point", "sigs"],
                 )
 
     return run
@@ -179,17 +192,80 @@ def _second_pass(n: int):
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 rows = [(c, s) for c, k1, k2, s in zip(part.column("cid").to_pylist(), part.column("c1").to_pylist(), part.column("c2").to_pylist(), shingle_sets(part.column("text").to_pylist(), n, hashes), strict=True) if class_key(s) == (k1, k2)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([counts(s).tobytes() for _, s in rows], pa.binary()), pa.array([s.astype("<u8").tobytes() for _, s in rows], pa.binary())],
-                    names=["cid", "n", "point", "shingles"],
+                    [pa.array([c for c, _ in rows], pa.int64()), _column([s.astype("<u8").tobytes() for _, s in rows])],
+                    names=["cid", "shingles"],
                 )
 
     return run
 
 
+_PACKED = "range long, base long, sigs binary, offs binary, leads binary"
+_MET = "sig long, cid long, leader long"
+
+
+def _pack(n_ranges: int):
+    """Keys of many sets -> for each range of keys: the keys, and for each the least row of the batch that has it.
+
+    The other rows of a key go, with that leader, to the range that follows from their own number.
+    """
+    names = [x.split(" ")[0] for x in _PACKED.split(", ")]
+
+    def entries(base: int, ranges: np.ndarray, sigs: np.ndarray, offs: np.ndarray, leads: np.ndarray | None):
+        edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(ranges[lo]), base, sigs[lo:hi].astype("<u8").tobytes(), offs[lo:hi].astype("<u4").tobytes(), b"" if leads is None else leads[lo:hi].astype("<u4").tobytes()
+
+    def packed(base: int, offs: np.ndarray, sigs: np.ndarray):
+        order = np.lexsort((offs, sigs))
+        sigs, offs = sigs[order], offs[order]
+        first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+        yield from entries(base, ((sigs[first] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64), sigs[first], offs[first], None)
+        if not first.all():
+            lead = offs[np.flatnonzero(first)[np.cumsum(first) - 1]][~first]
+            sigs, offs = sigs[~first], offs[~first]
+            ranges = (_mix(offs.astype(np.uint64)) % np.uint64(n_ranges)).astype(np.int64)
+            order = np.argsort(ranges, kind="stable")
+            yield from entries(base, ranges[order], sigs[order], offs[order], lead[order])
+
+    def run(batches):
+        for batch in batches:
+            rows, held = batch.column("row").to_numpy(), batch.column("sigs")
+            size = np.asarray(pc.binary_length(held)) // 8
+            group = np.stack([rows >> 31, np.cumsum(size) // PACK_KEYS])
+            cuts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0), [True]])) if len(rows) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                base = int(rows[lo]) >> 31 << 31
+                sigs = np.frombuffer(b"".join(held.slice(lo, hi - lo).to_pylist()), "<u8")
+                if len(sigs):
+                    out = list(zip(*packed(base, np.repeat((rows[lo:hi] - base).astype(np.uint32), size[lo:hi]), sigs), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *map(_column, out[2:])], names=names)
+
+    return run
+
+
+def _meet(key, rows):
+    """The members of the keys that several rows have, each with a leader; ``rows`` is a range of keys."""
+    base, leads = rows.column("base").to_numpy(), rows.column("leads").to_pylist()
+    sigs = [np.frombuffer(x, "<u8") for x in rows.column("sigs").to_pylist()]
+    ids = [np.frombuffer(x, "<u4") + b for x, b in zip(rows.column("offs").to_pylist(), base, strict=True)]
+    known = [i for i, x in enumerate(leads) if x]
+    open_ = [i for i, x in enumerate(leads) if not x]
+    out = [(sigs[i], ids[i], np.frombuffer(leads[i], "<u4") + base[i]) for i in known]
+    if open_:
+        sig, own = np.concatenate([sigs[i] for i in open_]), np.concatenate([ids[i] for i in open_])
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        lead = own[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        out.append((sig[~first], own[~first], lead[~first]))
+    sig, own, lead = (np.concatenate([x[k] for x in out]).astype(np.int64) for k in range(3))
+    return pa.table({"sig": sig, "cid": own, "leader": lead})
+
+
 def _bounded(sizes: Sizes):
     """Pairs that the sum of coordinate minima leaves."""
 
@@ -203,14 +279,20 @@ def _bounded(sizes: Sizes):
     return run
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def _verify(sizes: Sizes):
     def run(batches):
         for batch in batches:
             a, b, out = batch.column("a"), batch.column("b"), []
             for i in range(batch.num_rows):
-                sa, sb = sorted((np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("a_shingles", "b_shingles")), key=len)
-                at = np.searchsorted(sb, sa)
-                if sizes.linked(len(sa), len(sb), int((sb[np.minimum(at, len(sb) - 1)] == sa).sum())):
+                sa, sb = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("a_shingles", "b_shingles"))
+                if sizes.linked(len(sa), len(sb), _overlap(sa, sb)):
                     out.append(i)
             rows = pa.array(out, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], names=["a", "b"])
@@ -254,30 +336,67 @@ class RTree:
                 yield int(x["own"][i]), int(y["own"][j])
 
 
+class _Union:
+    """Union-find over positions; the least of a set is its root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        """The root of ``x``."""
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def merge(self, x: int, y: int) -> None:
+        """Join the sets of ``x`` and ``y``."""
+        x, y = sorted((self.root(x), self.root(y)))
+        self.up[y] = x
+
+
 def _bucket_join(sizes: Sizes):
+    """Members of two blocks of a bucket with a partner of another component within the bound.
+
+    They come with the least member (``lead``) that partners connect them with here, and a name (``bucket``) of all those.
+    """
+
     def run(key, rows):
-        ids, labels = rows.column("cid").to_numpy(), rows.column("comp").to_numpy()
+        rows = rows.sort_by("cid")
+        ids, comps = rows.column("cid").to_numpy(), rows.column("comp").to_numpy()
         points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(len(ids), GROUPS).astype(np.int64)
-        part = rows.column("part").to_numpy()
-        first, second = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
-        pairs = set()
+        part, (i, j) = rows.column("part").to_numpy(), (k.as_py() for k in key[1:])
+        first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        near, some = _Union(len(ids)), np.zeros(len(ids), bool)
         if len(first) and len(second):
-            left = RTree(points[first], labels[first])
-            right = left if key[1].as_py() == key[2].as_py() else RTree(points[second], labels[second])
-            for i, j in left.join(right, sizes):
-                a, b = int(ids[first[i]]), int(ids[second[j]])
-                pairs.add((min(a, b), max(a, b)))
-        out = sorted(p for p in pairs if p[0] != p[1])
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+            left = RTree(points[first], comps[first])
+            right = left if i == j else RTree(points[second], comps[second])
+            for x, y in left.join(right, sizes):
+                some[first[x]] = some[second[y]] = True
+                near.merge(int(first[x]), int(second[y]))
+        own = np.flatnonzero(some)
+        lead = ids[[near.root(x) for x in own.tolist()]] if len(own) else ids[own]
+        name = {int(k): xxhash.xxh3_64_intdigest(ids[own][lead == k].astype("<i8").tobytes()) >> 1 for k in np.unique(lead)}
+        return pa.table({"bucket": pa.array([name[k] for k in lead.tolist()], pa.int64()), "cid": ids[own], "comp": comps[own], "lead": lead})
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
-    side = lambda x, what: sets.select(F.col("cid").alias(x), F.col(what).alias(f"{x}_{what}"))
-    near = pairs.join(side("a", "point"), "a").join(side("b", "point"), "b").select("a", "b", "a_point", "b_point").mapInArrow(_bounded(sizes), "a long, b long")
-    near = materialize(near, "near-pairs")
-    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(_verify(sizes), "a long, b long")
+def _forest(sizes: Sizes):
+    """A forest of the links among the members of a bucket that are in different components so far."""
+
+    def run(rows):
+        ids, sets = rows.column("cid").to_numpy(), [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
+        _, label = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+        linked, out = _Union(int(label.max()) + 1), []
+        tree = RTree(np.stack([counts(s) for s in sets]).astype(np.int64), label)
+        for x, y in tree.join(tree, sizes):
+            if x < y and linked.root(int(label[x])) != linked.root(int(label[y])) and sizes.linked(len(sets[x]), len(sets[y]), _overlap(sets[x], sets[y])):
+                linked.merge(int(label[x]), int(label[y]))
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
 
 
 def _joined(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -289,54 +408,71 @@ def _joined(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFr
     sizes = Sizes(*threshold)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
-    first = rows.mapInArrow(_first_pass(n, sizes), "doc_id long, th long, n long, c1 long, c2 long, sigs array<long>")
+    first = rows.mapInArrow(_first_pass(n, sizes), "doc_id long, th long, n long, c1 long, c2 long, point binary, sigs binary")
     keyed = materialize(first.withColumn("row", F.monotonically_increasing_id()), "shingle-keys")
     first = materialize(keyed.drop("sigs"), "shingle-rows")
     # equal sets are one class, named by the least row number
-    classes = materialize(first.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep")), "shingle-classes")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep")
+    classes = materialize(first.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("cid"), F.first("n").alias("n"), rep), "shingle-classes")
     n_rows, n_classes = first.where("n > 0").count(), classes.count()
-    if n_rows - n_classes <= BROADCAST_KEYS:  # the rows that repeat a set are few: the others' keys stay where they are
+    if n_rows - n_classes <= BROADCAST_ROWS:  # the rows that repeat a set are few: the others' keys stay where they are
         again = first.where("n > 0").select("row").join(classes.select(F.col("cid").alias("row")), "row", "left_anti")
-        named = keyed.select("row", "sigs").join(F.broadcast(again), "row", "left_anti")
+        once = keyed.select("row", "sigs").join(F.broadcast(again), "row", "left_anti")
     else:
-        named = keyed.select("row", "sigs").join(classes.select(F.col("cid").alias("row")), "row")
-    buckets = named.select(F.col("row").alias("cid"), F.explode("sigs").alias("sig"))
-    met = materialize(buckets.groupBy("sig").agg(F.count("*").alias("size"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("size > 1"), "buckets")
-    large = met.where("size > 2").select("sig", "size", F.col("a").alias("leader"))
-    many = materialize(buckets.join(F.broadcast(large) if large.count() <= BROADCAST_KEYS else large, "sig"), "bucket-members")
+        once = keyed.select("row", "sigs").join(classes.select(F.col("cid").alias("row")), "row")
+    n_keys = keyed.agg(F.coalesce(F.sum(F.octet_length("sigs")), F.lit(0))).first()[0] // 8
+    packed = once.mapInArrow(_pack(max(RANGES, n_keys // RANGE_KEYS)), _PACKED)
+    met = materialize(packed.groupBy("range").applyInArrow(_meet, _MET), "bucket-members")
     discard(keyed)
-    release(docs.sparkSession)
-    pairs = materialize(met.where("size = 2").select("a", "b").unionByName(many.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))).distinct(), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    # every member with its leader, where the count vectors leave it open whether they link
+    pairs = met.select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    points = first.select("row", "point")
+    side = lambda x, of, what: of.select(F.col(of.columns[0]).alias(x), F.col(what).alias(f"{x}_{what}"))
+    near = pairs.join(side("a", points, "point"), "a").join(side("b", points, "point"), "b").select("a", "b", "a_point", "b_point")
+    near = materialize(near.mapInArrow(_bounded(sizes), "a long, b long"), "near-pairs")
+    sets = _sets(rows, classes, near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), n)
+    both = near.join(side("a", sets, "shingles"), "a").join(side("b", sets, "shingles"), "b").select("a", "b", "a_shingles", "b_shingles")
+    links = materialize(both.mapInArrow(_verify(sizes), "a long, b long"), "links")
+    discard(near, sets)
+    found = materialize(components(links), "components")
+
+    # buckets of three or more members that still hold several components: each set of members once, joined as R-trees
+    labels = classes.select("cid", "n").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("comp"))
+    members = met.select("sig", "cid").unionByName(met.select("sig", F.col("leader").alias("cid"))).distinct()
+    members = materialize(members.join(labels, "cid").select("sig", "cid", "n", "comp"), "bucket-components")
+    hashed = lambda salt: F.sum(F.xxhash64(F.lit(salt), "cid") % 1_000_000_007)
+    open_ = members.groupBy("sig").agg(F.count("*").alias("size"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hashed(1).alias("s1"), hashed(2).alias("s2")).where("lo != hi and size > 2")
+    per_part = F.least(F.lit(MEMBERS), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES / 8) / F.col("most"))))
+    open_ = materialize(open_.groupBy("size", "most", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / per_part).cast("int").alias("parts")), "open-buckets")
+    own = members.join(open_, "sig").join(points.withColumnRenamed("row", "cid"), "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    pairs_of = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")))
+    tiles = own.select("sig", "cid", "comp", "point", "part", F.explode(pairs_of).alias("ij")).select("sig", "cid", "comp", "point", "part", "ij.i", "ij.j")
+    rest = tiles.groupBy("sig", "i", "j").applyInArrow(_bucket_join(sizes), "bucket long, cid long, comp long, lead long")
+    rest = materialize(rest.distinct(), "open-members")
+    clusters = components(rest.select(F.col("lead").alias("a"), F.col("cid").alias("b"))).join(labels.select("cid", "n"), F.col("node") == F.col("cid"))
+    small = clusters.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("n")).where((F.col("size") <= CLUSTER) & (F.col("n") * 8 <= CLUSTER_BYTES))
+    small = clusters.join(small.select("root"), "root").select("cid", F.col("root").alias("cluster"))
+    rest = rest.join(small, "cid", "left").select(F.col("cluster").isNull().alias("by_bucket"), F.coalesce("cluster", "bucket").alias("bucket"), "cid", "comp").distinct()
+    rest = materialize(rest, "clusters")
+    sets = _sets(rows, classes, rest.select("cid").distinct(), n)
+    more = materialize(rest.join(sets, "cid").groupBy("by_bucket", "bucket").applyInArrow(_forest(sizes), "a long, b long"), "more-links")
+    if not more.isEmpty():
+        found = components(more.unionByName(links))
+    named = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "rep", F.coalesce("root", "cid").alias("root"))
+    return first, named, [first, classes, met, links, members, open_, rest, sets, more]
+
+
+def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """cid, shingles of the classes in ``wanted`` (cid), from the texts of their representatives."""
     wanted = materialize(classes.join(wanted, "cid", "left_semi"), "wanted-classes")
     n_wanted = wanted.count()
     by_id = wanted.select("cid", "c1", "c2", F.coalesce("rep.doc_id", F.lit(-(2**63))).alias("id"), F.col("rep.th").alias("th"))
     texts = rows.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th").join(F.broadcast(by_id) if n_wanted <= BROADCAST_CLASSES else by_id, ["id", "th"])
-    sets = texts.select("cid", "c1", "c2", "text").mapInArrow(_second_pass(n), "cid long, n long, point binary, shingles binary")
-    sets = materialize(sets, "shingle-sets")
+    sets = materialize(texts.select("cid", "c1", "c2", "text").mapInArrow(_second_pass(n), "cid long, shingles binary"), "shingle-sets")
     if sets.count() > n_wanted:  # a repeated row of a representative gave the same set again
         sets = materialize(sets.dropDuplicates(["cid"]), "shingle-sets")
-
-    links = materialize(_verified(pairs, sets, sizes), "links")
-    release(docs.sparkSession)
-    found = components(links)
-    # buckets that still hold several components: each set of members once, joined as R-trees
-    comp = F.coalesce("root", "cid").alias("comp")
-    labelled = many.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "size", "cid", comp)
-    open_ = labelled.groupBy("sig", "size").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("cid") % 1_000_000_007).alias("sum"), F.sum(F.xxhash64(F.lit(1), "cid") % 1_000_000_007).alias("sum2")).where("lo != hi")
-    open_ = open_.groupBy("size", "sum", "sum2").agg(F.min("sig").alias("sig")).select("sig")
-    members = labelled.join(open_, "sig").withColumn("parts", F.ceil(F.col("size") / MEMBERS).cast("int"))
-    members = members.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")))
-    members = members.join(sets.select("cid", "point"), "cid").select("sig", "cid", "comp", "point", "part", F.explode(pairs_of).alias("ij")).select("sig", "cid", "comp", "point", "part", "ij.i", "ij.j")
-    more = members.groupBy("sig", "i", "j").applyInArrow(_bucket_join(sizes), "a long, b long").distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        extra = _verified(more, sets, sizes)
-        found = components(extra.unionByName(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "rep", F.coalesce("root", "cid").alias("root"))
-    return first, named, [first, classes, met, many, pairs, wanted, sets, links, more]
+    return sets
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:

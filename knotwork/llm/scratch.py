@@ -1,66 +1,14 @@
-"""Shared-storage tables that cut lineage, and the reading of input tables.
-
-A step's result is written as Parquet under the folder in ``spark.checkpoint.dir`` (shared by driver and
-executors) and reread, so a lost executor never loses it. Only where that setting is unset, as in tests,
-a folder under /tmp/checkpoints is made and set.
-"""
+"""Reading of input tables, names that cannot clash, and the shared-storage tables of the core."""
 
 from __future__ import annotations
 
-import gc
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        os.makedirs(found, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, with a plan that starts at that table."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.scratch_path = path
-    return table
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialize`` wrote and nothing reads any more."""
-    for df in tables:
-        if df.scratch_path in _WRITTEN:
-            _WRITTEN.remove(df.scratch_path)
-            _delete(df.sparkSession, df.scratch_path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of plans that are done; it does so only when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
+from knotwork.sources.scratch import discard
+from knotwork.sources.scratch import saved as materialize
 
-def cleanup(spark: SparkSession) -> None:
-    """Remove every table written so far; results that still read them must have been saved before."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+__all__ = ["discard", "guarded", "materialize", "table"]
 
 
 def guarded(docs: DataFrame):
