@@ -25,6 +25,8 @@ from knotwork.llm.scratch import discard, guarded, materialize
 
 #: Passages of over 50 words are found, as far as they are whole lines.
 MIN_WORDS = 50
+#: Repeated fingerprints that may be broadcast, at 8 bytes each; more are joined by shuffle.
+BROADCAST_MARKS = 500_000
 
 
 def _lines(text: Column) -> Column:
@@ -72,12 +74,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = line_table(docs)
     runs = materialize(run_table(lines, min_words), "line-runs")
     marks = runs.groupBy("f").agg(F.min(F.struct("d", "t", "f_at")).alias("a"), F.max(F.struct("d", "t", "f_at")).alias("b")).where("a != b").select("f")
-    shared = runs.join(marks, "f", "left_semi")
+    marks = materialize(marks, "line-marks")  # as `first` below, so that a hot key's rows can be split in the join
+    shared = runs.join(F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks, "f", "left_semi")
     # which line of a run comes first does not depend on the side from which it was reached
     start = F.least("at", "far")
     shared = shared.select("d", "t", start.alias("lo"), F.greatest("at", "far").alias("hi"), "run", "run2")
     first = shared.groupBy("run", "run2").agg(F.min(F.struct("d", "t", "lo")).alias("first"), F.max(F.struct("d", "t", "lo")).alias("last")).where("first != last").select("run", "run2", "first")
-    first = materialize(first, "line-first")  # a table by itself, so that a run with very many copies can be split in the join
+    first = materialize(first, "line-first")  # so that a run with very many copies can be split
     later = shared.join(first, ["run", "run2"]).where(F.struct("d", "t", "lo") > F.col("first")).select("d", "t", "lo", "hi").distinct()
     # the union of the runs of each document, as positions: each start carries the furthest end so far
     w = Window.partitionBy("d", "t").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +88,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fresh = best.withColumn("seen", F.coalesce(F.max("hi").over(w), F.lit(-1)))
     spans = fresh.select("d", "t", F.greatest("lo", F.col("seen") + 1).alias("lo"), "hi").where("lo <= hi")
     gone = materialize(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gone")), "line-gone")
-    discard(runs, first)
+    discard(runs, marks, first)
     return gone
 
 
@@ -93,7 +96,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``, plus n_lines and n_removed (both long)."""
     gone = repeated_lines(docs, min_words).withColumnsRenamed({"d": "id", "t": "th"})
     rows, restore = guarded(docs)
-    both = rows.join(gone, ["id", "th"], "left")
+    both = rows.join(gone.hint("merge"), ["id", "th"], "left")  # deletions grow with the corpus
     text, lines = F.col("text"), _lines(F.col("text"))
     # between two deleted spans the lines stay; a blank line inside a span stays as well
     kept = F.flatten(
