@@ -1,10 +1,10 @@
 """Secret scans: spans of credentials, with corpus-wide ownership frequency of each value.
 
-Native DataFrame functions only. A first pass over the texts finds candidate spans per row; only the
-spans (no texts) are kept. Hashes of the values are then aggregated over the corpus by distinct
-repositories and owners. Values that many owners share are copied examples; values of few owners look
-live. Base spans always stay; wider candidates (random-looking tokens without a keyword) are added only
-when their value is owner-specific.
+Native DataFrame functions only. A first pass over the texts finds the matches of each pattern per row, as the
+lengths of the text between them, their own lengths and a hash of the value; no texts are kept. Running sums give the
+positions. Hashes of the values are then aggregated over the corpus by distinct repositories and owners.
+Values that many owners or repositories share are copied examples; values of few look live. Base spans always
+stay; wider candidates (random-looking tokens without a keyword) are added only when their value is owner-specific.
 
 Defined results: null or empty text has no spans; null repository or owner counts as one unknown one;
 equal rows are scanned each on its own; an empty table gives no rows; extra columns are ignored.
@@ -12,10 +12,12 @@ equal rows are scanned each on its own; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.scratch import materialize
+from knotwork.llm.scratch import discard, materialize
 
 # The base patterns of the contract, in its order of kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,39 +27,41 @@ HEX = r"[0-9a-f]{24,}"
 WIDE = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_ASSIGN = 6
 KINDS = ("assign", "access", "hex", "wide")
+#: Values that may be broadcast, at about 60 bytes each; more are joined by shuffle.
+BROADCAST_VALUES = 200_000
 
 
-def _located(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
-    """Array of (start, end, kind, value) of the leftmost non-overlapping matches, in code points.
+def _matches(text: Column, pattern: str, kind: int, good: Callable[[Column], Column], value_group: int = 0) -> Column:
+    """Array of (kind, gap, n, value_hash) of the leftmost non-overlapping matches, the hash null unless the value is good.
 
-    Text between matches comes from split(), the matches from regexp_extract_all(); their running
-    lengths give the positions.
+    ``gap`` is the length of the text since the match before, ``n`` the match's, in code points.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>").alias("spans"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    zipped = F.zip_with(gaps, F.arrays_zip(found.alias("found"), values.alias("value")), lambda gap, x: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.length(x["found"]).alias("n"), F.when(good(x["value"]), F.md5(x["value"])).alias("value_hash")))
+    # the pattern runs once on texts without a match, and none of the array work is done for them
+    return F.when(text.rlike(pattern), zipped).otherwise(F.array().cast("array<struct<kind:int,gap:int,n:int,value_hash:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    n = F.size(found)
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), found.alias("found"), values.alias("value"))
-    spans = F.aggregate(zipped, zero, step)["spans"]
-    # the patterns run once on texts without a match, and none of the array work is done for them
-    return F.when(text.rlike(pattern), spans).otherwise(zero["spans"])
+def candidate_matches(text: Column) -> Column:
+    """The matches of all patterns in ``text``, kind after kind."""
+    body, every = F.coalesce(text, F.lit("")), lambda x: F.lit(True)
+    long = lambda x: F.length(x) >= MIN_ASSIGN
+    random = lambda x: x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")
+    return F.concat(_matches(body, ASSIGN, 0, long, 2), _matches(body, ACCESS, 1, every), _matches(body, HEX, 2, every), _matches(body, WIDE, 3, random))
 
 
-def candidate_spans(docs: DataFrame, text: str = "text") -> tuple[Column, Column]:
-    """Columns of base spans and of wider spans that overlap no base span."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(_located(body, ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= MIN_ASSIGN)
-    base = F.concat(assign, _located(body, ACCESS, 1), _located(body, HEX, 2))
-    wide = F.filter(_located(body, WIDE, 3), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]"))
-    return base, wide
+def located(found: DataFrame) -> DataFrame:
+    """row, kind, start, end, value_hash of all good matches (row, matches); wide ones only where they overlap no base span."""
+    each = found.select("row", F.posexplode("matches").alias("i", "m")).select("row", "i", "m.*").repartition("row")
+    upto = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = each.select("row", "kind", (upto - F.col("n")).alias("start"), upto.alias("end"), "value_hash").where("value_hash is not null")
+    # a wide span is clear if no base span that starts before its end ends after its start
+    base = F.col("kind") < 3
+    before = Window.partitionBy("row").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), base).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(base, F.col("end"))).over(before)
+    return spans.withColumn("reach", reach).where(base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
 
 
 def _digest(spans: Column) -> Column:
@@ -75,39 +79,32 @@ def value_ownership(spans: DataFrame) -> DataFrame:
     return owners.join(repos, "value_hash")
 
 
-def scan_secrets(docs: DataFrame, repo: str = "source", owner: str = "source", max_owners: int = 1) -> DataFrame:
+def scan_secrets(docs: DataFrame, repo: str | Column = "source", owner: str | Column = "source", max_owners: int = 1, max_repos: int = 3) -> DataFrame:
     """One row per document row: doc_id, base and added spans, and how many values look live or copied.
 
-    A value is live when at most ``max_owners`` owners hold it, else an example. Result columns: doc_id,
-    base and added (arrays of start, end, kind, value hash), n_live, n_example.
+    A value is live when at most ``max_owners`` owners hold it in at most ``max_repos`` repositories, else an example;
+    ``repo`` and ``owner`` are columns or expressions. Result columns: doc_id, base and added (arrays of start, kind, end, value_hash,
+    n_spans, n_repos, n_owners, live), n_live, n_example.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
-    )
-    base, wide = candidate_spans(rows)
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.md5(x["value"]).alias("value_hash")))
-    found = rows.select("doc_id", "repo", "owner", base.alias("base"), wide.alias("wide"))
-    clear = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", hashed(F.col("base")).alias("base"), hashed(clear).alias("wide"))
-    found = materialize(found, "secret-spans")  # the row numbers above are fixed from here on
-
-    spans = found.select("row", "repo", "owner", F.explode(F.concat("base", "wide")).alias("s")).select("row", "repo", "owner", "s.*")
-    owned = value_ownership(spans).select("value_hash", (F.col("n_owners") <= max_owners).alias("live"))
-    judged = spans.join(owned, "value_hash").groupBy("row").agg(
-        F.collect_list(F.when((F.col("kind") == 3) & F.col("live"), F.struct("start", "end", "kind", "value_hash"))).alias("added"),
+    named = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), named(repo).alias("repo"), named(owner).alias("owner"), candidate_matches(F.col("text").cast("string")).alias("matches"))
+    found = materialize(found, "secret-matches")  # the row numbers are fixed from here on
+    some = found.where("size(matches) > 0")
+    spans = materialize(located(some).join(some.select("row", "repo", "owner"), "row"), "secret-spans")
+    owned = value_ownership(spans).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    owned = materialize(owned, "secret-values")  # a table by itself, so that a value with very many copies can be split in the join
+    judged = spans.join(F.broadcast(owned) if owned.count() <= BROADCAST_VALUES else owned, "value_hash")
+    span = F.struct("start", "kind", "end", "value_hash", "n_spans", "n_repos", "n_owners", "live")
+    judged = judged.groupBy("row").agg(
+        F.collect_list(F.when(F.col("kind") < 3, span)).alias("base"),
+        F.collect_list(F.when((F.col("kind") == 3) & F.col("live"), span)).alias("added"),
         F.sum(F.col("live").cast("bigint")).alias("n_live"),
         F.sum((~F.col("live")).cast("bigint")).alias("n_example"),
     )
-    return found.join(judged, "row", "left").select(
-        "doc_id",
-        "base",
-        F.coalesce("added", F.filter("wide", lambda x: F.lit(False))).alias("added"),
-        F.coalesce("n_live", F.lit(0).cast("bigint")).alias("n_live"),
-        F.coalesce("n_example", F.lit(0).cast("bigint")).alias("n_example"),
-    )
+    judged = materialize(judged, "secret-verdicts")
+    discard(spans, owned)
+    none = F.array().cast(judged.schema["base"].dataType)
+    return found.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"), *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_live", "n_example")])
 
 
 def secret_report(docs: DataFrame, **options) -> DataFrame:
