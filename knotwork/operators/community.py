@@ -1,22 +1,37 @@
 """Batch community search: the largest set around each query's seed, for all queries at once.
 
 Regions of all queries come from one search keyed by query; each query's induced region is solved by one task, with a
-deadline; results are validated again in the whole graph.
+deadline; results are validated again in the whole graph. Connected models are searched by growth from the seed,
+others by include and exclude.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.thresholds import model_threshold, python_threshold
-from knotwork.operators import graph, kernels
+from knotwork.operators import branching, graph, kernels
 from knotwork.sources.scratch import saved
 
-SOLVED = "query_id long, size long, nodes array<long>, branches long, timed_out boolean, time_sec double"
+SOLVED = "query_id long, size long, nodes array<long>, branches long, timed_out boolean, time_sec double, least long, connected boolean"
+
+
+@dataclass(frozen=True)
+class Model:
+    """A threshold model: ``need(param)`` gives the function size -> least degree inside, which must not fall."""
+
+    need: Callable[[float], Callable[[int], int]]
+    connected: bool = False
+
+
+#: The models that are always there; more are given by name to the functions below.
+MODELS = {"flexi": Model(lambda p: python_threshold("flexi", p), True), "quasi": Model(lambda p: python_threshold("quasi", p)), "kplex": Model(lambda p: python_threshold("kplex", p))}
 
 
 def regions(edges: DataFrame, queries: DataFrame, hops: int, cap: int) -> DataFrame:
@@ -29,18 +44,24 @@ def regions(edges: DataFrame, queries: DataFrame, hops: int, cap: int) -> DataFr
     return balls.unionByName(fixed.join(ids, "id", "left_semi").select("key", "id"))
 
 
-def _solve(timeout: float, options: kernels.SolverOptions):
+def solve_region(pairs: list[tuple[int, int]], seed: int, model: Model, param: float, timeout: float, options: kernels.SolverOptions) -> tuple[list[int], int, bool]:
+    """(nodes, branches, timed_out): a largest set around ``seed`` in a region of edges; at least the seed itself."""
+    ids = sorted({v for p in pairs for v in p} | {seed})
+    adj, at, stop = kernels.masks_of(ids, pairs), ids.index(seed), time.monotonic() + timeout
+    need = model.need(param)
+    run = branching.SeededSearch(adj, need, 1 << at, 1, stop, options) if model.connected else kernels.Search(adj, need, False, 1 << at, 1, stop, options)
+    run.run(1 << at, (1 << len(ids)) - 1)
+    return [ids[i] for i in kernels.bits(run.best)], run.branches, run.timed_out
+
+
+def _solve(timeout: float, options: kernels.SolverOptions, models: dict[str, Model]):
     def run(key, rows):
         began = time.monotonic()
         seed, model, param = rows.column("seed")[0].as_py(), rows.column("model")[0].as_py(), rows.column("param")[0].as_py()
         pairs = [(a, b) for a, b in zip(rows.column("src").to_pylist(), rows.column("dst").to_pylist(), strict=True) if a is not None]
-        ids = sorted({v for p in pairs for v in p} | {seed})
-        adj = kernels.masks_of(ids, pairs)
-        at = ids.index(seed)
-        run = kernels.Search(adj, python_threshold(model, param), model == "flexi", 1 << at, 1, began + timeout, options)
-        run.run(1 << at, (1 << len(ids)) - 1)
-        nodes = [ids[i] for i in kernels.bits(run.best)]
-        return pa.table({"query_id": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([len(nodes)], pa.int64()), "nodes": pa.array([nodes], pa.list_(pa.int64())), "branches": pa.array([run.branches], pa.int64()), "timed_out": pa.array([run.timed_out]), "time_sec": pa.array([time.monotonic() - began])})
+        nodes, branches, late = solve_region(pairs, seed, models[model], param, timeout, options)
+        row = {"query_id": key[0].as_py(), "size": len(nodes), "nodes": nodes, "branches": branches, "timed_out": late, "time_sec": time.monotonic() - began, "least": models[model].need(param)(len(nodes)), "connected": models[model].connected}
+        return pa.Table.from_pylist([row], schema=pa.schema([("query_id", pa.int64()), ("size", pa.int64()), ("nodes", pa.list_(pa.int64())), ("branches", pa.int64()), ("timed_out", pa.bool_()), ("time_sec", pa.float64()), ("least", pa.int64()), ("connected", pa.bool_())]))
 
     return run
 
@@ -65,26 +86,34 @@ def validate_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("set_id", "size", F.col("min_degree").cast("bigint").alias("min_degree"), "n_components", ((F.col("size") == 1) | ok).alias("valid"))
 
 
-def community_search(edges: DataFrame, queries: DataFrame, hops: int = 2, cap: int = 3000, timeout: float = 5.0, options: kernels.SolverOptions | None = None) -> DataFrame:
+def community_search(edges: DataFrame, queries: DataFrame, hops: int = 2, cap: int = 3000, timeout: float = 5.0, options: kernels.SolverOptions | None = None, models: dict[str, Model] | None = None) -> DataFrame:
     """query_id, seed, model, param, size, time_sec, valid, timed_out, nodes: one row per query.
 
-    ``queries`` has query_id, seed, model, param, restrict. A seed that is not in the graph gives size 0, not valid.
+    ``queries`` has query_id, seed, model, param, restrict. A seed that is not in the graph, or a model that is neither built in nor
+    in ``models``, gives size 0, not valid.
     """
+    models = MODELS | (models or {})
     hops, cap = max(0, hops), max(1, cap)
     if timeout <= 0:
         raise ValueError("timeout must be positive")
     edges, queries = saved(edges), saved(queries)
     area = saved(regions(edges, queries, hops, cap))
     inner = graph.keyed_induced(edges, area).withColumnRenamed("key", "query_id")
-    here = queries.join(area.select(F.col("key").alias("query_id")).distinct(), "query_id", "left_semi").select("query_id", "seed", "model", "param")
+    here = queries.where(F.col("model").isin(list(models))).join(area.select(F.col("key").alias("query_id")).distinct(), "query_id", "left_semi").select("query_id", "seed", "model", "param")
     work = here.join(inner, "query_id", "left")
-    solved = saved(work.groupBy("query_id").applyInArrow(_solve(timeout, options or kernels.SolverOptions()), SOLVED))
+    solved = saved(work.groupBy("query_id").applyInArrow(_solve(timeout, options or kernels.SolverOptions(), models), SOLVED))
     sets = solved.join(queries.select("query_id", "model", "param"), "query_id").select(F.col("query_id").alias("set_id"), "model", "param", F.explode("nodes").alias("id"))
-    ok = validate_sets(edges, sets).select(F.col("set_id").alias("query_id"), "valid")
+    held = validate_sets(edges, sets).select(F.col("set_id").alias("query_id"), "min_degree", "n_components")
+    ok = solved.join(held, "query_id").select("query_id", ((F.col("size") == 1) | (F.col("min_degree") >= F.col("least")) & (~F.col("connected") | (F.col("n_components") == 1))).alias("valid"))
     out = queries.join(solved, "query_id", "left").join(ok, "query_id", "left")
     return out.select("query_id", "seed", "model", "param", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), F.coalesce("time_sec", F.lit(0.0)).alias("time_sec"), F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("timed_out", F.lit(False)).alias("timed_out"), F.coalesce("nodes", F.array().cast("array<bigint>")).alias("nodes"))
 
 
+def batch_counts(results: DataFrame) -> DataFrame:
+    """processed, skipped: queries with an answer, and those whose seed is not in the graph."""
+    return results.agg(F.count_if(F.col("size") > 0).alias("processed"), F.count_if(F.col("size") == 0).alias("skipped"))
+
+
 def recovery(results: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id, n_found, n_truth, n_both, precision, recall, f1 of each result against its seed's community (id, community)."""
     own = results.join(truth.select(F.col("id").alias("seed"), "community"), "seed")

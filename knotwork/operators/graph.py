@@ -1,7 +1,8 @@
 """Graph primitives as DataFrame plans.
 
 Edges are canonical (src < dst, long). Loops write each round to shared storage, so a plan never grows with the
-rounds and a lost executor loses nothing. No primitive gathers a neighbourhood into one row or task.
+rounds and a lost executor loses nothing. No primitive gathers a neighbourhood into one row or task. Iterative primitives
+hand a graph of at most ``local.KERNEL_EDGES`` edges to one task instead, which saves the rounds of jobs.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators import peeling
+from knotwork.operators.local import small_pairs, task_table
 from knotwork.sources.edges import arcs
 from knotwork.sources.scratch import discard, saved
 
@@ -63,17 +66,31 @@ def subset_degrees(edges: DataFrame, members: DataFrame) -> DataFrame:
     return members.select("id").distinct().join(inside, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 
 
+def has_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """u, v, linked for ``pairs`` (u, v)."""
+    known = arcs(edges).distinct().withColumn("linked", F.lit(True))
+    return pairs.select("u", "v").join(known, ["u", "v"], "left").select("u", "v", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
 def non_neighbors(edges: DataFrame, of: int, members: DataFrame) -> DataFrame:
     """Members other than ``of`` that are not linked with it."""
     near = arcs(edges).where(F.col("u") == of).select(F.col("v").alias("id"))
     return members.select("id").where(F.col("id") != of).join(near, "id", "left_anti")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: bool = True) -> DataFrame:
     """id, comp (least id of the component), by alternating large and small stars until nothing changes.
 
     Each round replaces links by links to smaller neighbours; the rounds grow with the logarithm of a component's size.
+    Without ``small`` no graph goes to one task.
     """
+    if small and (pairs := small_pairs(edges)) is not None:
+
+        def whole():
+            g = peeling.Neighbours(pairs)
+            return [{"id": g.ids[v], "comp": g.ids[min(part)]} for part in g.parts(set(range(len(g)))) for v in part]
+
+        return task_table(edges.sparkSession, whole, "id long, comp long")
     state, seen = saved(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b")), None
     while True:
         mark = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
@@ -119,6 +136,14 @@ def is_connected(edges: DataFrame, members: DataFrame | None = None) -> DataFram
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
     """Edges of the k-core: vertices below ``k`` go, until none is left."""
+    if (pairs := small_pairs(edges)) is not None:
+
+        def whole():
+            g = peeling.Neighbours(pairs)
+            core = peeling.core_numbers(g)
+            return [{"src": g.ids[v], "dst": g.ids[w]} for v in range(len(g)) if core[v] >= k for w in g.near[v] if v < w and core[w] >= k]
+
+        return task_table(edges.sparkSession, whole, "src long, dst long")
     now, m = edges, None
     while True:
         now = saved(now)
@@ -135,6 +160,13 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     Neighbours are counted by value (at most the vertex's own) before they are ranked, so a hub is never one group of
     rows.
     """
+    if (pairs := small_pairs(edges)) is not None:
+
+        def whole():
+            g = peeling.Neighbours(pairs)
+            return [{"id": v, "core": k} for v, k in zip(g.ids, peeling.core_numbers(g), strict=True)]
+
+        return task_table(edges.sparkSession, whole, "id long, core long")
     both = saved(arcs(edges))
     core = saved(both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("core")))
     down = Window.partitionBy("id").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
@@ -152,33 +184,38 @@ def core_numbers(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
-    """key, id, hop for ``sources`` (key, id): hop distances of each key's search, at most ``hops``."""
+    """key, id, hop for ``sources`` (key, id): hop distances of each key's search, at most ``hops``.
+
+    A neighbour of hop h is in hop h - 1, h or h + 1, so a new front is only held against the last two.
+    """
     both = arcs(edges)
-    seen = saved(sources.select("key", "id").distinct().withColumn("hop", F.lit(0)))
-    h = 0
-    while hops is None or h < hops:
-        front = seen.where(F.col("hop") == h)
-        step = front.join(both, front["id"] == both["u"]).select("key", F.col("v").alias("id")).distinct()
-        new = saved(step.join(seen.select("key", "id"), ["key", "id"], "left_anti").withColumn("hop", F.lit(h + 1)))
+    fronts = [saved(sources.select("key", "id").distinct())]
+    while hops is None or len(fronts) <= hops:
+        past = fronts[-1] if len(fronts) == 1 else fronts[-1].unionByName(fronts[-2])
+        step = fronts[-1].join(both, fronts[-1]["id"] == both["u"]).select("key", F.col("v").alias("id")).distinct()
+        new = saved(step.join(past, ["key", "id"], "left_anti"))
         if new.isEmpty():
             break
-        h += 1
-        seen = saved(seen.unionByName(new))
-    return seen
+        fronts.append(new)
+    out = fronts[0].withColumn("hop", F.lit(0))
+    for h, front in enumerate(fronts[1:], 1):
+        out = out.unionByName(front.withColumn("hop", F.lit(h)))
+    return saved(out) if len(fronts) > 8 else out
 
 
 def capped_ball(edges: DataFrame, sources: DataFrame, hops: int = 2, cap: int = 3000) -> DataFrame:
     """key, id, hop, rank: each key's first ``cap`` vertices in the order (hop, rank of the parent, id).
 
-    The parent is the neighbour one hop nearer with the least rank. A hop's candidates are ranked within their key
-    only; ids beyond the cap are left out of later hops.
+    The parent is the neighbour one hop nearer with the least rank. A hop's candidates are first cut to ``cap`` in shares
+    of a key, then ranked within it, so no task gets more than a cap of each share; ids beyond the cap are left out of later hops.
     """
     both = arcs(edges)
     seen = saved(sources.select("key", "id").distinct().withColumns({"hop": F.lit(0), "rank": F.lit(1).cast("bigint")}))
     for h in range(hops):
         front = seen.where(F.col("hop") == h)
         step = front.join(both, front["id"] == both["u"]).groupBy("key", F.col("v").alias("id")).agg(F.min("rank").alias("parent"))
-        new = step.join(seen.select("key", "id"), ["key", "id"], "left_anti")
+        new = step.join(seen.select("key", "id"), ["key", "id"], "left_anti").withColumn("share", F.pmod(F.xxhash64("id"), F.lit(64)))
+        new = new.withColumn("place", F.row_number().over(Window.partitionBy("key", "share").orderBy("parent", "id"))).where(F.col("place") <= cap)
         count = seen.groupBy("key").agg(F.count("*").alias("have"))
         order = Window.partitionBy("key").orderBy("parent", "id")
         new = new.withColumn("place", F.row_number().over(order)).join(count, "key").select("key", "id", F.lit(h + 1).alias("hop"), (F.col("place") + F.col("have")).alias("rank")).where(F.col("rank") <= cap)
@@ -195,14 +232,43 @@ def keyed_induced(edges: DataFrame, regions: DataFrame) -> DataFrame:
     return left.join(regions.select("key", F.col("id").alias("dst")), ["key", "dst"], "left_semi").select("key", "src", "dst")
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """src, dst, w of a spanning forest of greatest weights, of edges with a weight ``w``.
+
+    Each part of the forest takes its heaviest edge to another part, until there is none; parts at least halve each round.
+    """
+    now = saved(edges.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")))
+    taken = None
+    while not now.isEmpty():
+        ends = now.select(F.col("a").alias("part"), F.struct("w", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")).alias("e")).unionByName(now.select(F.col("b").alias("part"), F.struct("w", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")).alias("e")))
+        best = ends.groupBy("part").agg(F.max("e").alias("e")).select((-F.col("e.s")).alias("src"), (-F.col("e.d")).alias("dst"), "e.w").distinct()
+        best = saved(best)
+        taken = best if taken is None else saved(taken.unionByName(best))
+        comp = saved(components(taken.select("src", "dst")))
+        a, b = comp.select(F.col("id").alias("src"), F.col("comp").alias("a")), comp.select(F.col("id").alias("dst"), F.col("comp").alias("b"))
+        now = saved(now.select("src", "dst", "w").join(a, "src").join(b, "dst").where("a <> b"))
+    return edges.select("src", "dst", "w").limit(0) if taken is None else taken
+
+
 def core_levels(edges: DataFrame, cores: DataFrame, tau: float) -> DataFrame:
-    """k, size (of the largest component of the k-core), need (floor(size ** tau)), ok (need <= k): all levels at once."""
+    """k, size (of the largest component of the k-core), need (floor(size ** tau)), ok (need <= k): all levels at once.
+
+    Levels are nested, so a forest of the edges that last longest connects each of them as all its edges do.
+    """
     from knotwork.functions.thresholds import floor_pow
 
-    # an edge lives on levels 2..min(core): components per level are found on (level, vertex) pairs in one search
+    if (pairs := small_pairs(edges)) is not None:
+
+        def whole():
+            g = peeling.Neighbours(pairs)
+            return [{"k": k, "size": n} for k, n in peeling.level_sizes(g, peeling.core_numbers(g)).items() if k >= 2]
+
+        sizes = task_table(edges.sparkSession, whole, "k long, size long")
+        return sizes.select("k", "size", floor_pow(F.col("size"), tau).alias("need")).withColumn("ok", F.col("need") <= F.col("k"))
     c1, c2 = cores.select(F.col("id").alias("src"), F.col("core").alias("c1")), cores.select(F.col("id").alias("dst"), F.col("core").alias("c2"))
-    live = edges.join(c1, "src").join(c2, "dst").select("src", "dst", F.least("c1", "c2").alias("top")).where("top >= 2")
-    levels = live.select("src", "dst", F.explode(F.sequence(F.lit(2).cast("bigint"), "top")).alias("k"))
+    live = edges.join(c1, "src").join(c2, "dst").select("src", "dst", F.least("c1", "c2").alias("w")).where("w >= 2")
+    # a forest's edge lives on levels 2..w: components per level are found on (level, vertex) pairs in one search
+    levels = saved(spanning_forest(live).select("src", "dst", F.explode(F.sequence(F.lit(2).cast("bigint"), "w")).alias("k")))
     ids = saved(levels.select("k", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("node", F.monotonically_increasing_id()))
     a = ids.select("k", F.col("id").alias("src"), F.col("node").alias("a"))
     b = ids.select("k", F.col("id").alias("dst"), F.col("node").alias("b"))

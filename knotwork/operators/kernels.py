@@ -6,7 +6,6 @@ reductions; each call is bounded by a deadline.
 
 from __future__ import annotations
 
-import heapq
 import random
 import time
 from collections.abc import Callable, Iterable
@@ -20,7 +19,11 @@ class SolverOptions:
     degree_rule: bool = True
     diameter_rule: bool = True
     size_bound: bool = True
-    order: str = "degree_asc"  # degree_asc | degree_desc | random
+    saturation: bool = True
+    sibling_break: bool = True
+    followers: bool = True
+    global_rule: bool = True
+    order: str = "width"  # width | degree_asc | degree_desc | random
     warm_start: bool = True
     trace: bool = False
     seed: int = 0xC0FFEE
@@ -92,123 +95,6 @@ def feasible(adj: list[int], members: int, need: Callable[[int], int], connected
     return all((adj[v] & members).bit_count() >= least for v in bits(members)) and (not connected or reach(adj, members & -members, members) == members)
 
 
-def cut_vertices(adj: list[int], inside: int) -> int:
-    """Articulation points within ``inside``, by low links of an explicit depth-first search."""
-    order, low, parent, cut = {}, {}, {}, 0
-    for root in bits(inside):
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        children = 0
-        stack = [(root, adj[root] & inside)]
-        while stack:
-            v, todo = stack[-1]
-            if todo:
-                bit = todo & -todo
-                stack[-1] = (v, todo ^ bit)
-                w = bit.bit_length() - 1
-                if w not in order:
-                    parent[w] = v
-                    order[w] = low[w] = len(order)
-                    children += v == root
-                    stack.append((w, adj[w] & inside))
-                elif w != parent.get(v):
-                    low[v] = min(low[v], order[w])
-                continue
-            stack.pop()
-            if v != root:
-                p = parent[v]
-                low[p] = min(low[p], low[v])
-                if p != root and low[v] >= order[p]:
-                    cut |= 1 << p
-        if children > 1:
-            cut |= 1 << root
-    return cut
-
-
-def core_numbers(adj: list[int]) -> list[int]:
-    """Core number of each vertex, by removing vertices of least degree."""
-    degree = [a.bit_count() for a in adj]
-    left, heap, core, level = (1 << len(adj)) - 1, [(d, v) for v, d in enumerate(degree)], [0] * len(adj), 0
-    heapq.heapify(heap)
-    while left:
-        d, v = heapq.heappop(heap)
-        if not left >> v & 1 or d != degree[v]:
-            continue
-        level = max(level, d)
-        core[v] = level
-        left ^= 1 << v
-        for w in bits(adj[v] & left):
-            degree[w] -= 1
-            heapq.heappush(heap, (degree[w], w))
-    return core
-
-
-def core_scope(adj: list[int], need: Callable[[int], int]) -> tuple[int, int]:
-    """(scope to peel, first set): the least core level whose largest part is as dense as its size asks, and what is around it."""
-    core = core_numbers(adj)
-    at = lambda k: sum(1 << v for v, c in enumerate(core) if c >= k)
-    biggest = lambda k: max(parts(adj, at(k)), key=int.bit_count)
-    top = max(core)
-    level = next((k for k in range(2, top + 1) if need(biggest(k).bit_count()) <= k), None)
-    first = biggest(level or top)
-    return reach(adj, first & -first, at(max(1, (level or 1) - 1))), first
-
-
-def peel_least(adj: list[int], inside: int, need: Callable[[int], int], first: int = 0) -> int:
-    """Remove the least-degree vertex that is no cut vertex until the rest is feasible.
-
-    Ties go to the least position. Returns the first feasible rest, or ``first`` if that is larger or none is found.
-    """
-    while inside:
-        n = inside.bit_count()
-        if n <= first.bit_count():
-            break
-        if feasible(adj, inside, need, True):
-            return inside
-        keep = cut_vertices(adj, inside)
-        free = inside & ~keep
-        if n == 1 or not free:
-            break
-        inside &= ~(1 << min(bits(free), key=lambda v: ((adj[v] & inside).bit_count(), v)))
-    return first
-
-
-def peel_any(adj: list[int], inside: int, need: Callable[[int], int], first: int = 0) -> int:
-    """Greedy peeling of every component without regard to connectivity; a rest that falls apart is split further.
-
-    The queue holds the larger parts first; parts no larger than the best are dropped.
-    """
-    best = first
-    queue = [(-p.bit_count(), i, p) for i, p in enumerate(parts(adj, inside))]
-    heapq.heapify(queue)
-    made = len(queue)
-    while queue:
-        _, _, now = heapq.heappop(queue)
-        degree = {v: (adj[v] & now).bit_count() for v in bits(now)}
-        heap = [(d, v) for v, d in degree.items()]
-        heapq.heapify(heap)
-        while now.bit_count() > best.bit_count():
-            while heap and (not now >> heap[0][1] & 1 or heap[0][0] != degree[heap[0][1]]):
-                heapq.heappop(heap)
-            if not heap or heap[0][0] >= need(now.bit_count()):
-                pieces = parts(adj, now)
-                if len(pieces) == 1:
-                    if feasible(adj, now, need, True):
-                        best = now
-                else:
-                    for p in pieces:
-                        heapq.heappush(queue, (-p.bit_count(), made, p))
-                        made += 1
-                break
-            _, v = heapq.heappop(heap)
-            now &= ~(1 << v)
-            for w in bits(adj[v] & now):
-                degree[w] -= 1
-                heapq.heappush(heap, (degree[w], w))
-    return best
-
-
 @dataclass
 class Search:
     """Largest feasible set of at least one vertex, by include-exclude with reduction to a fixpoint.

@@ -94,6 +94,19 @@ def saturation_lut(spark, sf_dir):
 
 
 # ---- edges and degrees ------------------------------------------------------------------------------------------
+@query(sql=f"""select d::bigint degree, tau, (case when d > 0 then floor(pow(d, 1 / tau)) else 0 end)::bigint v from range(0, 300) t(d), (values {_TAUS}) x(tau)""")
+def component_cap_lut(spark, sf_dir):
+    """Size from which on a component of a least degree is not peeled."""
+    return _grid(spark, 300, "degree").select("degree", "tau", th.component_cap("degree", "tau").alias("v"))
+
+
+@query(sql="select d::bigint degree, s::bigint size, m::boolean member, (20 - (s - m::int - d))::bigint v from range(0, 12) t(d), range(0, 12) x(s), range(0, 2) y(m) where d <= s")
+def margin_lut(spark, sf_dir):
+    """Strangers that a vertex may still get, of twenty, by the set's size and its neighbours there."""
+    rows = spark.range(12).withColumnRenamed("id", "degree").crossJoin(F.broadcast(spark.range(12).withColumnRenamed("id", "size"))).crossJoin(F.broadcast(spark.range(2).select((F.col("id") == 1).alias("member"))))  # 288 rows
+    return rows.where("degree <= size").select("degree", "size", "member", th.margin(F.lit(20), "size", "member", "degree").cast("bigint").alias("v"))
+
+
 @query(G, "select a src, b dst from e")
 def edges_canonical(e):
     """Each edge once."""
@@ -106,6 +119,34 @@ def edges_symmetric(e):
     return io.arcs(e)
 
 
+@query(G, "select (least(a, b) << 32) | greatest(a, b) as key from e")
+def edge_keys(e):
+    """Both ends of every edge in one number."""
+    return e.select(th.edge_key("dst", "src").alias("key"))
+
+
+@query(G, ", x(u, v) as (select i, j from range(0, 12) t(i), range(0, 12) s(j)) select x.u::bigint u, x.v::bigint v, count(d.u) > 0 as linked from x left join d using (u, v) group by x.u, x.v")
+def has_edge(e):
+    """Whether pairs of the first twelve ids are edges."""
+    pairs = e.sparkSession.range(144).select(F.floor(F.col("id") / 12).alias("u"), (F.col("id") % 12).alias("v"))
+    return graph.has_edge(e, pairs)
+
+
+@query(G, ", s as (select distinct u id from d where u % 2 = 0), g as (select s.id, count(x.u) degree from s left join (select u from d where v % 2 = 0) x on x.u = s.id group by s.id) select floor(pow(min(degree) + 1, 1 / 0.8::double))::bigint cap from g")
+def set_size_cap(e):
+    """Largest set that the degrees inside the even ids leave room for, tau 0.8."""
+    return graph.subset_degrees(e, _even(e)).agg(F.min("degree").alias("m")).select(th.floor_root(F.col("m") + 1, 0.8).alias("cap"))
+
+
+@query(sql="select id::bigint id, (row_number() over (order by id) - 1)::bigint vid from (select n_nationkey id from nation union select n_regionkey + 100 from nation)")
+def first_appearance(spark, sf_dir):
+    """Dense numbers of nations and regions by their first line, where the lines are in order of id."""
+    n = table(spark, sf_dir, "nation")
+    lines = n.select(F.col("n_nationkey").alias("line"), F.col("n_nationkey").cast("bigint").alias("src"), F.col("n_nationkey").cast("bigint").alias("dst"))
+    more = n.select((F.col("n_regionkey") + 1000).alias("line"), (F.col("n_regionkey") + 100).cast("bigint").alias("src"), (F.col("n_regionkey") + 100).cast("bigint").alias("dst"))
+    return io.first_appearance(lines.unionByName(more), "line")
+
+
 @query(G, f", {_DEG} select count(*)::bigint n, (sum(degree) // 2)::bigint m, min(degree)::bigint min_degree, max(degree)::bigint max_degree from g")
 def graph_summary(e):
     """Counts and degree range."""
@@ -327,98 +368,140 @@ def global_prune_theta(e):
 
 
 # ---- exact search -----------------------------------------------------------------------------------------------
+#: The nation graph has at most so many vertices; the SQL lists all their subsets.
+NATIONS = 25
+_ADJ = "adj as (select " + ", ".join(f"coalesce(bit_or(case when u = {i} then (1::bigint) << v end), 0) m{i}" for i in range(NATIONS)) + " from d)"
+
+
+def _subsets_sql(need, seed=None):
+    degrees = " and ".join(f"((x >> {i}) & 1 = 0 or bit_count(x & m{i}) >= need)" for i in range(NATIONS))
+    mine = f"(x >> {seed}) & 1 = 1 and " if seed is not None else ""
+    return f"select coalesce(max(k), {1 if seed is not None else 0})::bigint size from (select x, bit_count(x) k, {need.replace('k', 'bit_count(x)')} need from range(1, (1::bigint) << {NATIONS}) t(x)), adj where {mine}{degrees}"
+
+
 def _bitmask_sql(need, seed=None):
-    mine = f" and (x >> {seed}) & 1 = 1" if seed is not None else ""
-    return f""", adj as (select u, bit_or((1::bigint) << v) m from d group by u), s as (select x, bit_count(x) k from range(1, (1::bigint) << 20) t(x) where true{mine}),
-  ok as (select x, k from s join adj on ((x >> u) & 1) = 1 group by x, k having min(bit_count(x & m)) >= {need} and count(*) = k)
-  select coalesce(max(k), {1 if seed is not None else 0})::bigint size from ok"""
+    return f", {_ADJ} {_subsets_sql(need, seed)}"
 
 
 _F8, _F9, _Q8, _K2 = "floor(pow(k, 0.8::double))", "floor(pow(k, 0.9::double))", "ceil(0.8::double * (k - 1) - 1e-9)", "greatest(0, k - 2)"
-#: The SQL lists the subsets of ids below 20 only and is kept as it is; the queries run on the whole graph, of at most 25 vertices.
-S = "small_nation"
-NATIONS = 25
 
 
-@query("nation", _bitmask_sql(_F8), S)
+@query("nation", _bitmask_sql(_F8))
 def exact_flexi_bitmask(e):
     """Largest flexi-clique (0.8) by listing all subsets."""
-    return solvers.bitmask(e, "flexi", 0.8, limit=NATIONS)
+    return solvers.bitmask(e, "flexi", 0.8, limit=NATIONS).select("size")
 
 
-@query("nation", _bitmask_sql(_Q8), S)
+@query("nation", _bitmask_sql(_Q8))
 def exact_quasi(e):
     """Largest quasi-clique (0.8)."""
-    return solvers.bitmask(e, "quasi", 0.8, limit=NATIONS)
+    return solvers.bitmask(e, "quasi", 0.8, limit=NATIONS).select("size")
 
 
-@query("nation", _bitmask_sql(_K2), S)
+@query("nation", _bitmask_sql(_K2))
 def exact_kplex(e):
     """Largest 2-plex."""
-    return solvers.bitmask(e, "kplex", 2.0, limit=NATIONS)
+    return solvers.bitmask(e, "kplex", 2.0, limit=NATIONS).select("size")
 
 
-@query("nation", _bitmask_sql(_F8, 3), S)
+@query("nation", _bitmask_sql(_F8, 3))
 def exact_seeded_flexi(e):
     """Largest flexi-clique (0.8) with vertex 3."""
-    return solvers.bitmask(e, "flexi", 0.8, 3, limit=NATIONS)
+    return solvers.bitmask(e, "flexi", 0.8, 3, limit=NATIONS).select("size")
 
 
-@query("nation", _bitmask_sql(_Q8, 3), S)
+@query("nation", _bitmask_sql(_Q8, 3))
 def exact_seeded_quasi(e):
     """Largest quasi-clique (0.8) with vertex 3."""
-    return solvers.bitmask(e, "quasi", 0.8, 3, limit=NATIONS)
+    return solvers.bitmask(e, "quasi", 0.8, 3, limit=NATIONS).select("size")
 
 
-@query("nation", _bitmask_sql(_K2, 3), S)
+@query("nation", _bitmask_sql(_K2, 3))
 def exact_seeded_kplex(e):
     """Largest 2-plex with vertex 3."""
-    return solvers.bitmask(e, "kplex", 2.0, 3, limit=NATIONS)
+    return solvers.bitmask(e, "kplex", 2.0, 3, limit=NATIONS).select("size")
 
 
-@query("nation", _bitmask_sql(_F8), S)
+@query("nation", _bitmask_sql(_F8))
 def exact_flexi_se(e):
     """Largest flexi-clique (0.8) by set enumeration."""
-    return solvers.set_enumeration(e, 0.8)
+    return solvers.set_enumeration(e, 0.8).select("size")
 
 
-@query("nation", _bitmask_sql(_F8), S)
+@query("nation", _bitmask_sql(_F8))
 def exact_flexi_cp(e):
     """Largest flexi-clique (0.8) by branch and bound from root seeds."""
     return solvers.exact(e, 0.8).select("size")
 
 
-# ---- heuristics: a valid set between 2 and the exact size -------------------------------------------------------
-def _bounded(e, found):
-    best = solvers.bitmask(e, "flexi", 0.8, limit=NATIONS).withColumnRenamed("size", "best")
-    return found.crossJoin(F.broadcast(best)).select("valid", ((F.col("size") >= 2) & (F.col("size") <= F.col("best"))).alias("in_bounds"))  # one row each
+# ---- heuristics -------------------------------------------------------------------------------------------------
+# Sets are numbers again, and a[i] is vertex i's neighbours. Each round of the recursion takes one vertex away.
+_NEED = "floor(pow(bit_count(x), 0.8::double))"
+_ALL = f"range(0, {NATIONS})"
+_LISTS = f"al as (select list(coalesce(m, 0) order by i) a from (select i, m from (select unnest({_ALL}) i) left join (select u, bit_or((1::bigint) << v) m from d group by u) on u = i))"
+#: Whether the set y holds together: from its lowest vertex, as many steps as there are vertices.
+_HOLDS = f"list_reduce(list_prepend(y & -y, list_transform({_ALL}, lambda q: q::bigint)), lambda r, q: r | (y & list_aggregate(list_transform({_ALL}, lambda j: case when (r >> j) & 1 = 1 then a[j + 1] else 0 end), 'bit_or'))) = y"
 
 
-_TRUE = "select true as valid, true as in_bounds"
+def _free(code):
+    """The least ``code`` of the vertices i that no others need to hold together."""
+    return f"list_min(list_transform({_ALL}, lambda i: case when (x >> i) & 1 = 1 and x & a[i + 1] <> 0 and ({_HOLDS.replace('y', '(x & ~((1::bigint) << i))')}) then {code} end))"
 
 
-@query("nation", _TRUE, S)
+_LOW = f"list_min(list_transform({_ALL}, lambda i: case when (x >> i) & 1 = 1 then bit_count(x & a[i + 1])::bigint end))"
+_SCOPE = f"""{_CORES}, {_LISTS}, lk as (select k from ks where k <= (select max(core) from cores)), ek as (select lk.k, d.u, d.v from lk, d join cores x on x.id = d.u join cores y on y.id = d.v where x.core >= lk.k and y.core >= lk.k),
+  rk(k, s, t) as (select distinct k, u, u from ek union select rk.k, rk.s, ek.v from rk join ek on ek.k = rk.k and ek.u = rk.t), ck as (select k, s, min(t) comp from rk group by k, s),
+  big as (select k, comp, n from (select k, comp, count(*) n, row_number() over (partition by k order by count(*) desc, comp) r from ck group by k, comp) where r = 1),
+  lev as (select min(k) k from big where k >= 2 and floor(pow(n, 0.8::double)) <= k),
+  sd as (select ck.s from ck join big using (k, comp) where ck.k = (select k from lev)), seed as (select coalesce(bit_or((1::bigint) << s), 0) m, count(*) n from sd),
+  scope as (select bit_or((1::bigint) << s) x from ck where k = (select greatest(k - 1, 1) from lev) and comp = (select comp from ck where k = (select greatest(k - 1, 1) from lev) and s = (select min(s) from sd)))"""
+_NPA = f"""pn(x, low, code) as (select x, {_LOW}, {_free("bit_count(x & a[i + 1])::bigint * 32 + i")} from scope, al union all
+  select x, {_LOW}, {_free("bit_count(x & a[i + 1])::bigint * 32 + i")} from (select x & ~((1::bigint) << (code % 32)) x from pn where low < {_NEED} and code is not null), al),
+  npa as (select coalesce(max(bit_count(x)), 0)::bigint size from pn where low >= {_NEED})"""
+_KEYED = _free("(bit_count(x & a[i + 1])::bigint * 100000 + keys[i + 1]) * 32 + i")
+_FPA = f"""pf(x, keys, stamp, low, code) as (select x, keys, {NATIONS}, {_LOW}, {_KEYED} from (select x, list_transform({_ALL}, lambda i: i::bigint) keys from scope), al union all
+  select x, keys, stamp, {_LOW}, {_KEYED} from (select x & ~((1::bigint) << (code % 32)) x, stamp + bit_count(x & a[code % 32 + 1]) stamp,
+    list_transform({_ALL}, lambda j: case when (x & a[code % 32 + 1]) >> j & 1 = 1 then stamp + bit_count(x & a[code % 32 + 1] & (((1::bigint) << j) - 1)) else keys[j + 1] end) keys
+    from pf, al where low < {_NEED} and code is not null and bit_count(x) > (select n from seed)), al),
+  fpa as (select greatest(coalesce(max(bit_count(x)), 0), (select n from seed))::bigint size from pf where low >= {_NEED})"""
+_GREEDY = f"""pg(x, code) as (select x, {_LOW} * 32 + list_min(list_transform({_ALL}, lambda i: case when (x >> i) & 1 = 1 and bit_count(x & a[i + 1]) = {_LOW.replace("lambda i", "lambda h").replace("(x >> i)", "(x >> h)").replace("a[i + 1]", "a[h + 1]")} then i end))
+    from (select bit_or((1::bigint) << u) x from d), al union all
+  select x, {_LOW} * 32 + list_min(list_transform({_ALL}, lambda i: case when (x >> i) & 1 = 1 and bit_count(x & a[i + 1]) = {_LOW.replace("lambda i", "lambda h").replace("(x >> i)", "(x >> h)").replace("a[i + 1]", "a[h + 1]")} then i end))
+    from (select x & ~((1::bigint) << (code % 32)) x from pg where code // 32 < {_NEED}), al),
+  greedy as (select coalesce(max(bit_count(x)), 0)::bigint size from pg where code // 32 >= {_NEED} and x <> 0)"""
+
+
+def _sized(found):
+    return found.select("size", "valid", (F.size("nodes") == F.col("size")).alias("named"))
+
+
+def _sized_sql(name):
+    return f"select size, size > 0 as valid, true as named from {name}"
+
+
+@query("nation", f"{_SCOPE}, {_NPA} {_sized_sql('npa')}")
 def npa(e):
     """Core peeling that spares cut vertices."""
-    return _bounded(e, solvers.npa(e, 0.8))
+    return _sized(solvers.npa(e, 0.8))
 
 
-@query("nation", _TRUE, S)
+@query("nation", f"{_SCOPE}, {_FPA} {_sized_sql('fpa')}")
 def fpa(e):
-    """Core peeling with the core as floor."""
-    return _bounded(e, solvers.fpa(e, 0.8))
+    """Core peeling by arrival with the core as floor."""
+    return _sized(solvers.fpa(e, 0.8))
 
 
-@query("nation", _TRUE, S)
+# The nation graph is one component, whole within two hops of its first seed; a set of 0.8 among 25 vertices is connected.
+@query("nation", f", {_LISTS}, {_GREEDY} {_sized_sql('greedy')}")
 def mgpp(e):
     """Greedy peeling of components."""
-    return _bounded(e, solvers.mgpp(e, 0.8))
+    return _sized(solvers.mgpp(e, 0.8))
 
 
-@query("nation", _TRUE, S)
+@query("nation", f"{_SCOPE}, {_FPA}, {_GREEDY} {_sized_sql('(select greatest(fpa.size, greedy.size) size from fpa, greedy)')}")
 def multiseed(e):
     """Greedy peeling in balls around high degrees."""
-    return _bounded(e, solvers.multi_seed(e, 0.8))
+    return _sized(solvers.multi_seed(e, 0.8))
 
 
 # ---- community search -------------------------------------------------------------------------------------------
@@ -432,14 +515,10 @@ _FOR = {"flexi0.8": _F8, "flexi0.9": _F9, "quasi0.8": _Q8, "kplex2.0": _K2}
 
 def _batch_sql(rows):
     # hops beyond the diameter make the region the seed's component, so subsets of the whole graph with the seed decide
-    asks = " union all ".join(f"select {i} q, {s} seed, '{m}{p}' f" for i, s, m, p, _ in rows)
-    need = "case f " + " ".join(f"when '{k}' then {v}" for k, v in _FOR.items()) + " end"
-    return f""", adj as (select u, bit_or((1::bigint) << v) m from d group by u), s as (select x, bit_count(x) k from range(1, (1::bigint) << 20) t(x)),
-  mm as (select x, k, min(bit_count(x & m)) md from s join adj on ((x >> u) & 1) = 1 group by x, k having count(*) = k), a as ({asks})
-  select q::bigint query_id, seed::bigint seed, coalesce(max(k), 1)::bigint size, true as valid from a left join mm on (x >> seed) & 1 = 1 and md >= {need} group by q, seed"""
+    return f", {_ADJ} " + " union all ".join(f"select {i}::bigint query_id, {s}::bigint seed, size, true as valid from ({_subsets_sql(_FOR[f'{m}{p}'], s)})" for i, s, m, p, _ in rows)
 
 
-@query("nation", _batch_sql(_BATCH), S)
+@query("nation", _batch_sql(_BATCH))
 def community_batch(e):
     """Largest sets around seeds under three models, in one batch."""
     return community.community_search(e, _asked(e, _BATCH), hops=8, timeout=60.0).select("query_id", "seed", "size", "valid")
@@ -478,20 +557,30 @@ def community_recovery(spark, sf_dir):
 
 
 # ---- dynamic connectivity ---------------------------------------------------------------------------------------
-_OPS = [(i, "delete" if i % 3 == 2 else "insert", (7 * i) % 12, (5 * i + 3) % 12) for i in range(24)]
+_OPS = [(i, "delete" if i % 3 == 2 else "insert", 1000 + (7 * i) % 12, (5 * i + 3) % 12 + (1000 if i % 2 else 0)) for i in range(24)]
+_LIVES = f""", o(seq, op, u, v) as (values {", ".join(f"({i}, '{o}', {min(u, v)}::bigint, {max(u, v)}::bigint)" for i, o, u, v in _OPS)}),
+  t as (select seq q from o), k as (select q, u, v, max_by(op, seq) op from (select q, a u, b v, -1 seq, 'insert' op from t, e union all select q, u, v, seq, op from t, o where seq <= q) where u <> v group by all),
+  l as (select q, u, v from k where op = 'insert' union all select q, v, u from k where op = 'insert'),
+  n as (select q, id from t, (select a id from e union select b from e union select u from o union select v from o)), r(q, s, t) as (select q, id, id from n union select r.q, r.s, l.v from r join l on l.q = r.q and l.u = r.t)"""
 
 
-@query(sql=f"""with recursive o(seq, op, u, v) as (values {", ".join(f"({i}, '{o}', {min(u, v)}, {max(u, v)})" for i, o, u, v in _OPS)}),
-  b as (select n_nationkey::integer u, n_nationkey::integer + 1 v from nation where n_nationkey < 11 and n_nationkey % 2 = 0),
-  t as (select seq q from o), k as (select q, u, v, max_by(op, seq) op from (select q, -1 seq, 'insert' op, u, v from t, b union all select q, seq, op, u, v from t, o where seq <= q) where u <> v group by all),
-  l as (select q, u, v from k where op = 'insert' union all select q, v, u from k where op = 'insert'),
-  n as (select q, id from t, range(0, 12) r(id)), r(q, s, t) as (select q, id, id from n union select r.q, r.s, l.v from r join l on l.q = r.q and l.u = r.t)
-  select q::bigint seq, count(distinct c)::bigint n_components from (select q, s, min(t) c from r group by q, s) group by q""")
-def dynamic_components(spark, sf_dir):
-    """Component count of 12 vertices after each of 24 edge operations."""
-    base = table(spark, sf_dir, "nation").where("n_nationkey < 11 and n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("bigint").alias("src"), (F.col("n_nationkey") + 1).cast("bigint").alias("dst"))
-    ops = spark.createDataFrame(_OPS, "seq long, op string, u long, v long")
-    return dynamic.component_counts(base, ops, n=12, block=10)
+def _told(e):
+    return e.sparkSession.createDataFrame(_OPS, "seq long, op string, u long, v long")
+
+
+@query(G, f"{_LIVES} select q::bigint seq, count(distinct c)::bigint n_components from (select q, s, min(t) c from r group by q, s) group by q")
+def dynamic_components(e):
+    """Component count of the graph and twelve further vertices after each of 24 edge operations."""
+    return dynamic.component_counts(e, _told(e), block=10)
+
+
+_PAIRS = [(i, i, 1000 + i % 12, (i * 5) % 12 + (1000 if i % 3 else 0)) for i in range(24)]
+
+
+@query(G, f"{_LIVES}, x(ask, q, u, v) as (values {', '.join(map(str, _PAIRS))}) select ask::bigint ask, x.q::bigint seq, x.u = x.v or count(r.t) > 0 as connected from x left join r on r.q = x.q and r.s = x.u and r.t = x.v group by ask, x.q, x.u, x.v")
+def dynamic_connected(e):
+    """Whether pairs of vertices are connected after given edge operations."""
+    return dynamic.connected_after(e, _told(e), e.sparkSession.createDataFrame(_PAIRS, "ask long, seq long, u long, v long"), block=10)
 
 
 # ---- text formats -----------------------------------------------------------------------------------------------

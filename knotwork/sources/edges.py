@@ -45,12 +45,21 @@ def empty_graph(spark: SparkSession) -> DataFrame:
 
 
 def first_appearance(edges: DataFrame, order: str) -> DataFrame:
-    """id, vid: dense numbers by first line (column ``order``), then by column; for reproducing tie-breaks."""
+    """id, vid: dense numbers by first line (column ``order``), then by column; for reproducing tie-breaks.
+
+    Vertices are dealt by ranges of their place and numbered in each, after the sizes of the ranges before.
+    """
     from pyspark.sql import Window
 
+    from knotwork.sources.scratch import saved
+
     seen = edges.select(F.explode(F.array(F.struct(F.col(order).alias("line"), F.lit(0).alias("col"), F.col("src").alias("id")), F.struct(F.col(order).alias("line"), F.lit(1).alias("col"), F.col("dst").alias("id")))).alias("x"))
     first = seen.groupBy("x.id").agg(F.min(F.struct("x.line", "x.col")).alias("at"))
-    return first.select("id", (F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("vid"))
+    dealt = saved(first.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    past = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("past"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return dealt.withColumn("place", place).join(F.broadcast(past), "part").select("id", (F.col("place") - 1 + F.col("past")).cast("bigint").alias("vid"))
 
 
 def parse_queries(lines: DataFrame) -> DataFrame:
@@ -89,6 +98,13 @@ def result_lines(results: DataFrame) -> DataFrame:
     )
 
 
+def saved_results(results: DataFrame) -> DataFrame:
+    """Results of a batch, computed once."""
+    from knotwork.sources.scratch import saved
+
+    return saved(results)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """``result_lines`` as text files."""
     result_lines(results).write.mode("overwrite").text(path)
@@ -100,6 +116,12 @@ def report_lines(result: DataFrame) -> DataFrame:
     return result.select(F.explode(F.array(*[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in keys])).alias("value"))
 
 
+def human_report(result: DataFrame) -> DataFrame:
+    """Lines for readers: algorithm, size, validity, time, branches and the members (original ids)."""
+    rows = (("Algorithm", F.col("algo")), ("tau", F.col("tau")), ("Size", F.col("size")), ("Valid", F.when(F.col("valid"), "yes").otherwise("no")), ("Time", F.format_string("%.4f s", F.col("time_sec"))), ("Branches", F.col("branches")), ("Nodes", F.array_join(F.col("nodes").cast("array<string>"), " ")))
+    return result.select(F.explode(F.array(*[F.concat(F.rpad(F.lit(k), 10, " "), F.lit(": "), v.cast("string")) for k, v in rows])).alias("value"))
+
+
 def write_report(result: DataFrame, path: str) -> None:
     """``report_lines`` as text; folders are made as needed."""
     report_lines(result).coalesce(1).write.mode("overwrite").text(path)

@@ -1,8 +1,9 @@
 """Tables in shared storage that cut a plan's lineage.
 
 Results of steps and loop rounds are written as Parquet under the folder in ``spark.checkpoint.dir`` and read back; a
-lost executor loses none of them. The shuffle files of a step are removed once its table is written. Only a
-session on a local master may lack the setting, as in tests; it then gets a folder under /tmp/checkpoints.
+lost executor loses none of them. The shuffle files of a step are removed once its table is written, and rows go to
+Python in small batches, so that long texts do not fill a worker. Only a session on a local master may lack the
+setting, as in tests; it then gets a folder under /tmp/checkpoints.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a step is written.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,15 +34,17 @@ def saved(df: DataFrame, tag: str = "round") -> DataFrame:
     """``df``, written once and reread."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table

@@ -39,18 +39,12 @@ def user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(pairs.where("w >= 2"))
 
 
-def small_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nation graph on ids below 20, whose subsets can all be listed."""
-    return nation(spark, sf_dir).where("dst < 20")
-
-
-VIEWS = {"nation": nation, "supplier": supplier, "user": user, "small_nation": small_nation}
+VIEWS = {"nation": nation, "supplier": supplier, "user": user}
 
 _NATION_SQL = """select a::bigint a, b::bigint b from (select *, avg(w) over () m from (select least(c_nationkey, s_nationkey) a, greatest(c_nationkey, s_nationkey) b, count(*) w
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2)) where w > m"""
 SQL = {
     "nation": _NATION_SQL,
-    "small_nation": f"select a, b from ({_NATION_SQL}) where b < 20",
     "supplier": """select a, b from (select *, avg(w) over () + stddev_samp(w) over () m from (select x.s a, y.s b, count(*) w from (select distinct l_orderkey o, l_suppkey s from lineitem) x
   join (select distinct l_orderkey o, l_suppkey s from lineitem) y on x.o = y.o and x.s < y.s group by 1, 2)) where w > m""",
     "user": """select a, b from (select x.u a, y.u b, count(*) w from (select distinct user_id u, floor(epoch(ts) / 300)::bigint k from events) x
