@@ -27,8 +27,8 @@ BITS = 16
 CLIP = 6.0
 PENALTY = 9.0
 MAX_TRAIN = 20_000
-#: Characters that are scored together; bounds the memory of a task.
-CHUNK = 2_000_000
+#: Characters that are scored together, and rows that are read at once; they bound the memory of a task.
+CHUNK, ROWS = 500_000, 2_000
 UND = "und"
 
 # First and last code points of scripts, from the Unicode block list; all else is script 0.
@@ -48,10 +48,9 @@ class Alphabet:
     _made = None
 
     def __init__(self):
-        points = [chr(i) for i in range(0x110000)]
         self.letter = np.zeros(0x110000, np.uint32)
-        for i, c in enumerate(points):
-            if c.isalpha():
+        for i in range(0x110000):
+            if (c := chr(i)).isalpha():
                 low = c.lower()
                 self.letter[i] = ord(low) if len(low) == 1 else i
         self.script = np.zeros(0x110000, np.uint8)
@@ -207,38 +206,43 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
 RESULT = "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
 
-def _predict(model: Model, keys: list[str], spans: bool):
+def _predict(model: Model, keys: list[str], spans: bool, text: str = "__text"):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+    def judge(texts: list[str]):
+        """(language, score, spans or None) of each text."""
+        if not model.langs:
+            yield from [(UND, 0.0, [] if spans else None)] * len(texts)
+            return
+        w = Words(texts)
+        label = model.labels(w)
+        doc = np.repeat(np.arange(len(texts)), w.n_words)
+        by = np.zeros((len(texts), len(model.langs)))
+        np.add.at(by, (doc, label), w.letters)
+        total, best = by.sum(axis=1), by.argmax(axis=1)
+        mine = [[] if spans else None for _ in texts]
+        if spans:
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
+            at = np.flatnonzero(new)
+            last = np.concatenate([at[1:], [len(doc)]])[: len(at)] - 1
+            for d, s, e, k in zip(doc[at].tolist(), w.begin[at].tolist(), w.end[last].tolist(), label[at].tolist(), strict=True):
+                mine[d].append({"start": s - int(w.text_at[d]), "end": e - int(w.text_at[d]), "lang": model.langs[k]})
+        score = by.max(axis=1) / np.maximum(total, 1)
+        yield from ((model.langs[k] if n else UND, x, own) for k, n, x, own in zip(best.tolist(), total.tolist(), score.tolist(), mine, strict=True))
+
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            pred, score, found = [], [], []
-            for a, b in _chunks(texts):
-                w = Words(texts[a:b])
-                if not model.langs:
-                    pred += [UND] * (b - a)
-                    score += [0.0] * (b - a)
-                    found += [[]] * (b - a)
-                    continue
-                label = model.labels(w)
-                doc = np.repeat(np.arange(b - a), w.n_words)
-                by = np.zeros((b - a, len(model.langs)))
-                np.add.at(by, (doc, label), w.letters)
-                total, best = by.sum(axis=1), by.argmax(axis=1)
-                pred += [model.langs[k] if n else UND for k, n in zip(best.tolist(), total.tolist(), strict=True)]
-                score += (by.max(axis=1) / np.maximum(total, 1)).tolist()
-                if spans:
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
-                    at = np.flatnonzero(new)
-                    last = np.concatenate([at[1:], [len(doc)]])[: len(at)] - 1
-                    mine = [[] for _ in range(b - a)]
-                    for d, s, e, k in zip(doc[at].tolist(), w.begin[at].tolist(), w.end[last].tolist(), label[at].tolist(), strict=True):
-                        mine[d].append({"start": s - int(w.text_at[d]), "end": e - int(w.text_at[d]), "lang": model.langs[k]})
-                    found += mine
-                else:
-                    found += [None] * (b - a)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(found, kind)], names=[*keys, "lang_pred", "score", "spans"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts of like length step together
+                found = [None] * len(texts)
+                for a, b in _chunks([texts[i] for i in order]):
+                    for i, x in zip(order[a:b], judge([texts[i] for i in order[a:b]]), strict=True):
+                        found[i] = x
+                pred, score, own = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(own, kind)], names=[*keys, "lang_pred", "score", "spans"])
 
     return run
 
@@ -262,11 +266,17 @@ def language_report(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     return identify(rows, model, ["doc_id", "held_out"], spans=False).drop("spans")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` without documents that are ``und`` or have no language with ``min_score`` of the letters."""
+def keep_identified(docs: DataFrame, min_score: float = 0.2, max_train: int = MAX_TRAIN) -> DataFrame:
+    """``docs`` without documents that are ``und`` or whose letters are spread so that no language has ``min_score`` of them.
+
+    Text in several languages stays. Where no language could be learned, all documents stay.
+    """
     model = train(docs.where(fold() != 1), max_train)
+    if not model.langs:
+        return docs
     names = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = renamed.withColumn("text", F.col(f"c{names.index('text')}"))
-    judged = identify(rows, model, renamed.columns, spans=False).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    return judged.select(*renamed.columns).toDF(*names)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index('text')}"
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    judged = rows.mapInArrow(_predict(model, rows.columns, False, text), f"{schema}, {RESULT}")
+    return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*rows.columns).toDF(*names)

@@ -10,4 +10,4 @@ from knotwork.operators import graph
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (a, b: long, unequal, any order); ``root`` is the least node reachable."""
-    return graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"id": "node", "comp": "root"})
+    return graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), small=False).withColumnsRenamed({"id": "node", "comp": "root"})

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: an index of count vectors whose leaves are R-trees, then exact verification.
 
-A document's set is its distinct n-word shingles. Shingles are hashed to groups and a set is the point of its group
-counts; the overlap of two sets is at most the sum of the coordinate minima of their points, and that of a set and
+A document's set is its distinct n-word shingles. Shingles are hashed to groups, more of them for larger sets, and a set is
+the point of its group counts; points of unlike numbers of groups are compared by the smaller, as each group is
+part of one there. The overlap of two sets is at most the sum of the coordinate minima of their points, and that of a set and
 any set in a box at most the sum of the minima with the box's upper corner.
 
 The top of the index deals points to buckets without losing a pair. Sets of like size are cut into ``k`` blocks by
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from knotwork.llm.links import components
 from knotwork.llm.scratch import discard, guarded, materialize
 
-GROUPS = 64
+#: Groups of a set: a power of two, at least so many, and enough for at most so many shingles in each on average.
+GROUPS, PER_GROUP = 64, 8
 #: Sizes in one class differ by at most this factor.
 RATIO = 1.4
 #: Classes whose keys may be broadcast (about 40 bytes each); with more, texts are joined by shuffle.
@@ -165,7 +167,18 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 
 def counts(s: np.ndarray) -> np.ndarray:
     """The point of a set: counts by group."""
-    return np.bincount((s >> np.uint64(20)) % np.uint64(GROUPS), minlength=GROUPS).astype("<u4")
+    n = max(GROUPS, 1 << max(0, -(-len(s) // PER_GROUP) - 1).bit_length())
+    return np.bincount((s >> np.uint64(20)) % np.uint64(1 << 30) // np.uint64((1 << 30) // n), minlength=n).astype("<u2")
+
+
+def same_groups(points: list[np.ndarray]) -> np.ndarray:
+    """Points as rows of one table, by the least number of groups among them."""
+    n = min((len(p) for p in points), default=GROUPS)
+    return np.array([p if len(p) == n else p.reshape(n, -1).sum(axis=1) for p in points], np.int32).reshape(len(points), n)
+
+
+def _points(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
 def _column(values: list[bytes]) -> pa.Array:
@@ -271,9 +284,12 @@ def _bounded(sizes: Sizes):
 
     def run(batches):
         for batch in batches:
-            points = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, GROUPS).astype(np.int64) for c in ("a_point", "b_point")]
-            n, both = sum(p.sum(axis=1) for p in points), np.minimum(*points).sum(axis=1)
-            good = pa.array(sizes.q * both >= sizes.p * (n - both))
+            good = []
+            for pair in zip(_points(batch.column("a_point")), _points(batch.column("b_point")), strict=True):
+                p = same_groups(pair)
+                both = int(p.min(axis=0).sum())
+                good.append(sizes.linked(*p.sum(axis=1).tolist(), both))
+            good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
     return run
@@ -364,7 +380,7 @@ def _bucket_join(sizes: Sizes):
     def run(key, rows):
         rows = rows.sort_by("cid")
         ids, comps = rows.column("cid").to_numpy(), rows.column("comp").to_numpy()
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(len(ids), GROUPS).astype(np.int64)
+        points = same_groups(_points(rows.column("point")))
         part, (i, j) = rows.column("part").to_numpy(), (k.as_py() for k in key[1:])
         first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
         near, some = _Union(len(ids)), np.zeros(len(ids), bool)
@@ -389,7 +405,7 @@ def _forest(sizes: Sizes):
         ids, sets = rows.column("cid").to_numpy(), [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
         _, label = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
         linked, out = _Union(int(label.max()) + 1), []
-        tree = RTree(np.stack([counts(s) for s in sets]).astype(np.int64), label)
+        tree = RTree(same_groups([counts(s) for s in sets]), label)
         for x, y in tree.join(tree, sizes):
             if x < y and linked.root(int(label[x])) != linked.root(int(label[y])) and sizes.linked(len(sets[x]), len(sets[y]), _overlap(sets[x], sets[y])):
                 linked.merge(int(label[x]), int(label[y]))

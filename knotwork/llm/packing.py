@@ -1,15 +1,20 @@
 """Packing: mixture-controlled deficit round-robin over source queues.
 
-Each document becomes its tokenizer's ids and an end id. Documents are dealt by a hash to lanes of about ``LANE``
-tokens, so a source with a third of all rows is in every lane alike. In a lane each source is a queue; every window
-of ``WINDOW`` tokens (a whole number of sequences) adds a source's share of the window to its deficit and serves
-that many tokens, cutting documents freely. A dry queue keeps its deficit and the others share the room. A lane
-starts with the deficits that the lanes before it left: a source's share of all tokens before, less its own tokens
-before. Those come from sums by lane and source and prefix sums of them, so lanes run in parallel and still carry
-deficits. A lane's tokens follow the ones before it without a gap, so only the very last sequence is padded.
-
-Defined results: null text is an empty document, which is the end id alone; a null source is a queue of its own;
-repeated rows are packed each on its own; an empty table gives no rows; extra columns are ignored.
+Each document becomes its tokenizer's ids and an end id. A source's documents are one queue, whose length and
+positions follow from sums by part file. The queues are served in lanes of about ``LANE`` tokens: a lane gets
+of each queue the tokens from its share of all lanes before to its share with this one, rounded down, so what a
+lane owes is carried to the next as a fraction of a token, and no lane's mixture departs further the later it
+comes. Documents are cut where a lane ends. In a lane every window of ``WINDOW`` tokens (a whole number of
+sequences) adds a source's share of the window to its deficit and serves that many tokens, cutting documents freely;
+a source that is owed too little for a piece waits with its deficit. Sources with less than a 512th of a lane are not
+cut that fine: they take turns, in some lanes each. A lane's tokens follow the ones before it without a gap,
+so only the very last sequence is padded.
+
+With a given mixture the sources' shares of a window are its weights. When a queue runs dry the others share its
+room by their weights: lanes are cut anew from there. Sources without a weight come last, by their sizes.
+
+Defined results: null text is an empty document, which is the end id alone; a null source is a queue of its own
+(that of ''); repeated rows are packed each on its own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +34,16 @@ SEQUENCE = 2048
 WINDOW = 16 * SEQUENCE
 LANE = 1 << 20
 END = 1
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Distinct words whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 50_000, 64
 #: Pieces shorter than this are not cut for the sake of a deficit.
 LEAST_PIECE = 64
-#: Lanes whose sums one task adds up.
+#: Lanes, or part files, whose sums one task adds up.
 SPAN = 4096
+#: A source's tokens in one lane are not cut below this part of a lane.
+FINEST = 512
+#: Rows of sums that may be broadcast, at about 50 bytes each; more are joined by shuffle.
+BROADCAST_SUMS = 500_000
 # Fixed value: the pattern by which byte-level BPE with 50,257 ids cuts text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -59,15 +68,15 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        own = json.load(open(path, encoding="utf-8"))
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        self.path, self.whole = path, None
         special = [t["content"] for t in own.get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         back = _byte_chars()
         ranks = {bytes(back[c] for c in token): k for token, k in own["model"]["vocab"].items() if token not in special}
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.kind = np.dtype("<u2" if max([*ranks.values(), *(t["id"] for t in own.get("added_tokens", ()))]) < 1 << 16 else "<u4")
         self.plain = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.odd = re.compile(r" \s| \Z")
         encode, kind = self.plain.encode_ordinary, self.kind
@@ -78,7 +87,9 @@ class Encoder:
             def __missing__(self, word):
                 if len(self) >= REMEMBERED:
                     self.clear()
-                found = self[word] = np.array(encode(self.lead + word), kind).tobytes()
+                found = np.array(encode(self.lead + word), kind).tobytes()
+                if len(word) <= LONGEST:
+                    self[word] = found
                 return found
 
         self.first, self.later = Memory(), Memory()
@@ -94,7 +105,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids of ``text``."""
         if self.special and self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if self.odd.search(text):
             return np.array(self.plain.encode_ordinary(text), self.kind).tobytes()
         first, *rest = text.split(" ")
@@ -108,62 +123,112 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        own = json.load(file)
+    return 1 + max([*own["model"]["vocab"].values(), *(t["id"] for t in own.get("added_tokens", ()))])
+
+
 def _tokenize(path: str, end: int):
+    """Ids of texts, with the tokens of the same source before them in the partition."""
+
     def run(batches):
         encoder = Encoder.get(path)
         last = np.array([end], encoder.kind).tobytes()
+        past: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = [encoder.encode(t or "") + last for t in part.column("text").to_pylist()]
-                n = pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), n, pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
+                n, before = [len(x) // encoder.kind.itemsize for x in ids], []
+                for source, k in zip(part.column("source").to_pylist(), n, strict=True):
+                    before.append(past.get(source, 0))
+                    past[source] = before[-1] + k
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "here", "ids"])
 
     return run
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """row, doc_id, source, n, ids: the documents' ids, written once. ``row`` numbers the rows of that table."""
+    """part, doc_id, source, n, here, ids: the documents' ids, written once; ``here``: the source's tokens before, in the part."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
-    ids = rows.mapInArrow(_tokenize(tokenizer or default_tokenizer(), end), "doc_id long, source string, n long, ids binary")
-    return materialize(ids.withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    ids = rows.mapInArrow(_tokenize(tokenizer or default_tokenizer(), end), "doc_id long, source string, n long, here long, ids binary")
+    return materialize(ids.withColumn("part", F.spark_partition_id().cast("bigint")), "token-ids")
 
 
-def _prefix_sums(sums: DataFrame, by: list[str], value: str) -> DataFrame:
-    """``sums`` with ``before``: the sum of ``value`` over smaller lanes, in spans of lanes and then over spans."""
-    spans = sums.groupBy(*by, F.floor(F.col("lane") / SPAN).alias("span")).agg(F.sum(value).alias("s"))
+def _prefix_sums(sums: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+    """``sums`` with ``before``: the sum of ``value`` over smaller ``at``, in spans of them and then over spans."""
+    spans = sums.groupBy(*by, F.floor(F.col(at) / SPAN).alias("span")).agg(F.sum(value).alias("s"))
     spans = spans.withColumn("past", F.coalesce(F.sum("s").over(Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inside = Window.partitionBy(*by, "span").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sums.withColumn("span", F.floor(F.col("lane") / SPAN))
-    rows = rows.withColumn("here", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(spans, [*by, "span"]).withColumn("before", F.col("here") + F.col("past")).drop("here", "past", "span")
+    inside = Window.partitionBy(*by, "span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sums.withColumn("span", F.floor(F.col(at) / SPAN))
+    rows = rows.withColumn("inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(spans, [*by, "span"]).withColumn("before", F.col("inner") + F.col("past")).drop("inner", "past", "span")
 
 
-def lane_carries(sums: DataFrame, mixture: dict[str, float] | None = None) -> DataFrame:
-    """lane, source, share, deficit, base from sums (lane, source, tokens).
+def phases(totals: dict[str, int], weights: dict[str, float], lane_tokens: int) -> tuple[list[tuple], int]:
+    """([(source, x0, tokens, lane0, lanes)], next lane): the queues of a mixture, cut anew whenever one runs dry.
 
-    ``share`` is the source's target part of all tokens: its weight in ``mixture``, by default its part of the corpus.
+    From its token ``x0`` on, a source has ``tokens`` in the ``lanes`` lanes from ``lane0``.
+    """
+    left, done, out, lane = {s: n for s, n in totals.items() if n}, dict.fromkeys(totals, 0), [], 0
+    while left:
+        dry = min(left, key=lambda s: (left[s] / weights[s], s))
+        time = left[dry] / weights[dry]
+        given = {s: n if s == dry else min(n, int(weights[s] * time)) for s, n in left.items()}
+        lanes = max(1, -(-sum(given.values()) // lane_tokens))
+        out += [(s, done[s], n, lane, lanes) for s, n in given.items() if n]
+        lane += lanes
+        done = {s: done[s] + given.get(s, 0) for s in done}
+        left = {s: n - given[s] for s, n in left.items() if n > given[s]}
+    return out, lane
+
+
+def segments(totals: DataFrame, mixture: dict[str, float] | None, lane_tokens: int) -> DataFrame:
+    """source, x0, tokens, lane0, lanes, cuts, shift of each queue's segments, from totals (source, tokens).
+
+    A segment's tokens are cut into ``cuts`` parts of equal size (larger by a token at first); part j goes to lane
+    lane0 + j * lanes // cuts + shift.
     """
-    lanes = sums.groupBy("lane").agg(F.sum("tokens").alias("all_tokens"))
-    base = _prefix_sums(lanes, [], "all_tokens").select("lane", F.col("before").alias("base"))
-    own = _prefix_sums(sums, ["source"], "tokens").select("lane", "source", F.col("before").alias("own"))
-    if mixture is None:
-        weight = sums.groupBy("source").agg(F.sum("tokens").cast("double").alias("weight"))
-    else:
-        given = F.create_map(*[F.lit(x) for kv in mixture.items() for x in kv]) if mixture else F.lit(None).cast("map<string,double>")
-        weight = sums.select("source").distinct().select("source", F.coalesce(given[F.col("source")], F.lit(0.0)).alias("weight"))
-    total = weight.agg(F.sum("weight")).first()[0] or 1.0
-    shares = weight.select("source", (F.col("weight") / total).alias("share"))
-    return own.join(shares, "source").join(base, "lane").select("lane", "source", "share", (F.col("share") * F.col("base") - F.col("own")).alias("deficit"), "base")
+    spark = totals.sparkSession
+    weights = {s: float(w) for s, w in (mixture or {}).items() if w > 0}
+    named = {r["source"]: r["tokens"] for r in totals.where(F.col("source").isin(list(weights))).collect()} if weights else {}  # at most the mixture's
+    known, lane = phases(named, weights, lane_tokens)
+    rest = totals.where(~F.col("source").isin(list(weights))) if weights else totals
+    lanes = max(1, -(-rest.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // lane_tokens))
+    rest = rest.select("source", F.lit(0).cast("bigint").alias("x0"), "tokens", F.lit(lane).cast("bigint").alias("lane0"), F.lit(lanes).cast("bigint").alias("lanes"))
+    if known:
+        rest = rest.unionByName(spark.createDataFrame(known, "source string, x0 long, tokens long, lane0 long, lanes long"))
+    rows = rest.withColumn("cuts", F.greatest(F.lit(1), F.least("lanes", F.expr(f"tokens div {max(LEAST_PIECE, lane_tokens // FINEST)}"))).cast("bigint"))
+    return rows.withColumn("shift", F.pmod(F.xxhash64("source"), F.expr("lanes div cuts")))
+
+
+def lane_pieces(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (source, before: the queue's tokens before, n, ...) cut where lanes end: with lane, start, length and pos (in the queue)."""
+    near = rows.join(cuts, "source").where("before < x0 + tokens and before + n > x0")
+    near = near.withColumns({"q": F.expr("tokens div cuts"), "r": F.expr("tokens % cuts"), "lo": F.expr("greatest(before - x0, 0)"), "hi": F.expr("least(before + n - x0, tokens) - 1")})
+    cut = lambda x: F.expr(f"if({x} < r * (q + 1), {x} div (q + 1), r + ({x} - r * (q + 1)) div q)")
+    near = near.withColumn("j", F.explode(F.sequence(cut("lo"), cut("hi"))))
+    edge = lambda j: F.expr(f"x0 + ({j}) * q + least({j}, r)")
+    near = near.withColumns({"lane": F.expr("lane0 + (j * lanes) div cuts + shift"), "pos": F.greatest("before", edge("j"))})
+    near = near.withColumns({"start": F.col("pos") - F.col("before"), "length": F.least(F.col("before") + F.col("n"), edge("j + 1")) - F.col("pos")})
+    return near.drop("x0", "tokens", "lane0", "lanes", "cuts", "shift", "q", "r", "lo", "hi", "j", "before")
 
 
 class Lane:
-    """Deficit round-robin over the queues of a lane; yields (document, start, length, position)."""
+    """Deficit round-robin over the queues of a lane; yields (piece, start, length, position).
 
-    def __init__(self, queues: list[list[tuple[int, int]]], shares: list[float], deficits: list[float], base: int, window: int):
-        self.queues, self.shares, self.deficits, self.at, self.window = queues, shares, list(deficits), base, window
+    A queue is a list of (piece, tokens). Each source's share is its part of the lane, so all run dry together.
+    """
+
+    def __init__(self, queues: list[list[tuple[int, int]]], base: int, window: int):
+        self.queues, self.at, self.window = queues, base, window
         self.left = [sum(n for _, n in q) for q in queues]
-        self.head = [(0, 0)] * len(queues)  # the next document of each queue and the ids of it that went out
+        total = sum(self.left) or 1
+        self.shares = [n / total for n in self.left]
+        self.deficits = [0.0] * len(queues)
+        self.head = [(0, 0)] * len(queues)  # the next piece of each queue and the ids of it that went out
 
     def grants(self, room: int) -> list[int]:
         """Tokens that each queue gets of a window's ``room``: its deficit first, then the rest by shares."""
@@ -177,7 +242,8 @@ class Lane:
             total = sum(self.shares[s] for s in live)
             for s in sorted(live, key=lambda s: (-(self.deficits[s] - grant[s]), s)):
                 even = room if total <= 0 else int(room * self.shares[s] / total) + 1
-                more = min(self.left[s] - grant[s], max(even, LEAST_PIECE), room)
+                # a queue that gets a piece here already may be rounded up by any number, others by a piece
+                more = min(self.left[s] - grant[s], even if grant[s] else max(even, LEAST_PIECE), room)
                 grant[s] += more
                 room -= more
                 total -= self.shares[s]
@@ -188,7 +254,7 @@ class Lane:
     def pieces(self):
         """All pieces of the lane, window after window."""
         while any(self.left):
-            room = self.window - self.at % self.window
+            room = min(self.window - self.at % self.window, sum(self.left))
             for s, share in enumerate(self.shares):
                 self.deficits[s] += share * room
             for s, grant in enumerate(self.grants(room)):
@@ -196,9 +262,9 @@ class Lane:
                 self.left[s] -= grant
                 k, start = self.head[s]
                 while grant:
-                    doc, n = self.queues[s][k]
+                    piece, n = self.queues[s][k]
                     take = min(grant, n - start)
-                    yield doc, start, take, self.at
+                    yield piece, start, take, self.at
                     self.at += take
                     grant -= take
                     start += take
@@ -215,23 +281,20 @@ def _pack_lane(sequence: int, window: int, wide: bool, with_ids: bool):
     types = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int32())]
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
-    def run(_key, docs, carries):
-        info = {r["source"]: r for r in carries.to_pylist()}
-        order = np.argsort(docs.column("row").to_numpy(), kind="stable")
-        doc_ids, sources, n = docs.column("doc_id").to_pylist(), docs.column("source").to_pylist(), docs.column("n").to_pylist()
-        ids = docs.column("ids").to_pylist()
-        names_of = sorted(info)
-        queue = {s: [] for s in names_of}
+    def run(_key, rows, bases):
+        order = np.lexsort((rows.column("pos").to_numpy(), rows.column("source").to_numpy(zero_copy_only=False)))
+        doc_ids, sources, n, starts, ids = (rows.column(c).to_pylist() for c in ("doc_id", "source", "n", "start", "ids"))
+        queues: dict[str, list[tuple[int, int]]] = {}
         for i in order.tolist():
-            queue[sources[i]].append((i, n[i]))
-        lane = Lane([queue[s] for s in names_of], [info[s]["share"] for s in names_of], [info[s]["deficit"] for s in names_of], next(iter(info.values()))["base"], window)
+            queues.setdefault(sources[i], []).append((i, len(ids[i]) // kind.itemsize))
+        lane = Lane(list(queues.values()), bases.column("base")[0].as_py(), window)
         out = [[] for _ in names]
-        for doc, start, length, at in lane.pieces():
-            own = np.frombuffer(ids[doc], kind)
+        for piece, start, length, at in lane.pieces():
+            own = np.frombuffer(ids[piece], kind)
             while length:
                 take = min(length, sequence - at % sequence)
                 cut = own[start : start + take].astype("<u4")
-                for column, value in zip(out, (doc_ids[doc], start, take, zlib.crc32(cut.tobytes()), n[doc], at // sequence, at % sequence, sources[doc], cut.astype(np.int32) if with_ids else None), strict=True):
+                for column, value in zip(out, (doc_ids[piece], starts[piece] + start, take, zlib.crc32(cut.tobytes()), n[piece], at // sequence, at % sequence, sources[piece], cut.astype(np.int32) if with_ids else None), strict=True):
                     column.append(value)
                 start, length, at = start + take, length - take, at + take
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
@@ -239,22 +302,29 @@ def _pack_lane(sequence: int, window: int, wide: bool, with_ids: bool):
     return run
 
 
+def _small(sums: DataFrame) -> DataFrame:
+    return F.broadcast(sums) if sums.count() <= BROADCAST_SUMS else sums
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, mixture: dict[str, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, lane_tokens: int = LANE, end: int = END, with_ids: bool = True) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
-    ``ids`` is null unless ``with_ids``; a sequence is its pieces by offset, padded to ``sequence``.
+    ``mixture`` has the sources' weights, by default their sizes. ``ids`` is null unless ``with_ids``; a sequence is
+    its pieces by offset, padded to ``sequence``.
     """
     path = tokenizer or default_tokenizer()
+    wide = vocabulary_size(path) > 1 << 16
     rows = tokenized(docs, path, end)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_lanes = max(1, -(-total // lane_tokens))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(n_lanes)))
-    sums = materialize(rows.groupBy("lane", "source").agg(F.sum("n").alias("tokens")), "lane-sums")
-    carries = lane_carries(sums, mixture)
-    from tokenizers import Tokenizer
-
-    wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
-    lanes = rows.select("lane", "row", "doc_id", "source", "n", "ids").groupBy("lane").cogroup(carries.groupBy("lane"))
+    sums = materialize(rows.groupBy("part", "source").agg(F.sum("n").alias("tokens")), "part-sums")
+    starts = materialize(_prefix_sums(sums, ["source"], "part", "tokens").select("part", "source", "before"), "part-starts")
+    cuts = materialize(segments(sums.groupBy("source").agg(F.sum("tokens").alias("tokens")), mixture, lane_tokens), "queue-cuts")
+    rows = rows.join(_small(starts), ["part", "source"]).withColumn("before", F.col("before") + F.col("here"))
+    pieces = lane_pieces(rows.select("doc_id", "source", "n", "before", "ids"), _small(cuts))
+    bases = _prefix_sums(pieces.groupBy("lane").agg(F.sum("length").alias("tokens")), [], "lane", "tokens")
+    bases = materialize(bases.select("lane", F.col("before").alias("base")), "lane-bases")
+    size = 4 if wide else 2
+    part = F.substr("ids", (F.col("start") * size + 1).cast("int"), (F.col("length") * size).cast("int"))
+    lanes = pieces.select("lane", "pos", "doc_id", "source", "n", "start", part.alias("ids")).groupBy("lane").cogroup(bases.groupBy("lane"))
     return lanes.applyInArrow(_pack_lane(sequence, window, wide, with_ids), SCHEMA)
 
 

@@ -39,6 +39,19 @@ def test_language_switch_needs_evidence(make):
     assert [s.lang for s in langid.identify(one, model, ["doc_id"]).collect()[0].spans] == ["aa"]
 
 
+def test_language_of_very_long_and_mixed_texts(make):
+    rows = [(i, speech("aabbcc"[2 * (i % 3) :][:2], i, 30), "aabbcc"[2 * (i % 3) :][:2], "s") for i in range(150)]
+    model = langid.train(make(rows))
+    long = speech("aa", 500, 40_000)
+    asked = make([(1, long, None, "s"), (2, "ba" * 300_000, None, "s"), (3, "9 " * 300_000, None, "s"), (4, long[:1000] + speech("bb", 1, 2000), None, "s")])
+    got = {r.doc_id: r for r in langid.identify(asked, model, ["doc_id"]).collect()}
+    assert (got[1].lang_pred, len(got[1].spans)) == ("aa", 1) and got[1].spans[0].end == len(long)
+    assert got[3].lang_pred == "und" and got[4].lang_pred == "bb"
+    three = make([*rows, (900, " ".join(speech(x, 900, n) for x, n in (("aa", 48), ("bb", 46), ("cc", 12))), None, "s")])
+    assert 900 in {r.doc_id for r in langid.keep_identified(three).collect()}
+    assert langid.keep_identified(make([(1, "some words", None, "s"), (2, None, None, "s")])).count() == 2  # nothing could be learned
+
+
 def test_viterbi_is_brute_force():
     from itertools import product
 
@@ -150,3 +163,31 @@ def test_quality_without_labels(make, spark):
     one = spark.createDataFrame([(i, 1, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int")
     assert {(x.quality, x.toxic) for x in quality.score_documents(make(ODD), one).collect()} == {(1.0, 0.0)}
     assert quality.score_documents(make([]), one).count() == 0
+
+
+def test_quality_pseudo_labels_help(make, spark):
+    # the source tells most documents' class; of the many words each says a little, and few are in the labelled sample
+    def doc(i):
+        r = random.Random(i)
+        good = r.random() < 0.5
+        words = [f"{'good' if (r.random() < 0.75) == good else 'bad'}{r.randrange(1500)}" for _ in range(30)]
+        return good, (i, " ".join(words), "en", ("s1" if good else "s2") if r.random() < 0.9 else f"other{i}")
+
+    docs = [doc(i) for i in range(3000)]
+    rows, labels = make([row for _, row in docs]), spark.createDataFrame([(i, int(docs[i][0]), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    # judged by text alone: no source tells
+    odd = [i for i in range(300, 3000) if docs[i][1][3].startswith("other")]
+    loss, wrong = [], []
+    for rounds in (0, 2):
+        got = {x.doc_id: x.quality for x in quality.score_documents(rows, labels, rounds=rounds).collect()}
+        p = np.clip([got[i] if docs[i][0] else 1 - got[i] for i in odd], 1e-6, 1)
+        loss.append(-np.mean(np.log(p)))
+        wrong.append(np.mean(p < 0.5))
+    assert loss[1] < loss[0] and wrong[1] < wrong[0]
+
+
+def test_quality_of_very_long_texts(make, spark):
+    rows = [(i, ("fine prose here. " if i % 2 else "bad junk there! ") * 20, "en", "s") for i in range(60)] + [(90, "fine prose here. " * 60_000, "en", "s"), (91, "x" * 1_000_000, "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.score_documents(make(rows), labels).collect()}
+    assert got[90].quality > 0.5 and len(got) == 62

@@ -47,6 +47,11 @@ def test_packing_round_trip(make, prose):
     held_pieces(docs, packing.pack(docs, window=4096, lane_tokens=5000))
 
 
+def test_packing_of_very_long_texts(make, prose):
+    docs = make([(1, prose(1, 60_000, vocabulary=50_000), "en", "a"), (2, "x" * 400_000, "en", "b"), (3, "", "en", "a")] + [(10 + i, prose(i, 20), "en", "b") for i in range(5)])
+    held_pieces(docs, packing.pack(docs, lane_tokens=30_000))
+
+
 def mixed(make, prose):
     docs = make([(i, prose(i, 300), "en", "hot" if i % 3 else f"s{i % 2}") for i in range(90)])
     rows = packing.pack(docs, sequence=512, window=2048, lane_tokens=8000).collect()
@@ -200,6 +205,21 @@ def test_line_dedup_is_brute_force(make, prose, least):
     assert all(r.n_removed == r.n_lines - len(r.text.split("\n")) for r in found if r.text and r.n_removed == 0)
 
 
+def test_line_dedup_of_two_texts_of_one_id(make, prose):
+    shared = prose(7, 120)
+    rows = [(5, prose(1, 30) + "\n" + shared, "en", "s"), (5, prose(2, 30) + "\n" + shared, "en", "s"), (None, prose(3, 30) + "\n" + prose(8, 90), "en", "s"), (None, prose(4, 30) + "\n" + prose(8, 90), "en", "s")]
+    texts = [r.text for r in lines.dedup_lines(make(rows)).collect()]
+    assert sum(shared in t for t in texts) == 1 and sum(prose(8, 90) in t for t in texts) == 1 and len(texts) == 4
+
+
+def test_line_dedup_of_very_long_texts(make, prose):
+    long = prose(1, 60_000, vocabulary=50_000)
+    rows = [(1, long, "en", "s"), (2, prose(2, 40) + "\n" + long, "en", "s"), (3, "word " * 200_000, "en", "s"), (4, "same words\n" * 30_000, "en", "s")]
+    got = {r.doc_id: r for r in lines.dedup_lines(make(rows)).collect()}
+    assert got[1].text == long and got[2].text == prose(2, 40) and got[3].n_removed == 0
+    assert len(got[4].text.split("\n")) < 60  # all lines but a first run of fifty words, and the blank one
+
+
 def test_line_dedup_empty_and_columns(make):
     assert lines.dedup_lines(make([])).count() == 0
     assert set(make([]).columns) < set(lines.dedup_lines(make(ODD)).columns)
