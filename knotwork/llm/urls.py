@@ -16,6 +16,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm.scratch import materialize
+
 # The rules of the contract.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 WORDS = 8
@@ -65,15 +67,16 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 def listed_flags(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """``pages`` (with a column ``canon``) and a boolean ``is_listed``, through the filter and the exact join."""
-    listed = listed.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct()
+    listed = materialize(listed.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct(), "listed-urls")
     n_blocks = max(1, math.ceil(listed.count() / PER_BLOCK))
     blocks = bloom_blocks(listed, n_blocks)
-    if n_blocks <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
+    # a table by itself where it is joined by shuffle, so that the rows of a very frequent url can be split
+    blocks = F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else materialize(blocks, "url-blocks")
     hit = F.lit(True)
     for i, bit in enumerate(_bits(F.col("canon"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(bit) != 0)
-    probed = pages.withColumn("block", _block(F.coalesce("canon", F.lit("")), n_blocks)).join(blocks, "block", "left")
+    nowhere = -1 - F.pmod(F.xxhash64(*pages.columns), F.lit(n_blocks))  # rows without a url meet no block, and not each other
+    probed = pages.withColumn("block", F.when(F.col("canon").isNotNull(), _block(F.col("canon"), n_blocks)).otherwise(nowhere)).join(blocks, "block", "left")
     probed = probed.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
     exact = probed.where("maybe").join(listed.withColumnRenamed("url", "canon").withColumn("is_listed", F.lit(True)), "canon", "left")
     rest = probed.where("not maybe").withColumn("is_listed", F.lit(False))
