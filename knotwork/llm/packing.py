@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ SEQUENCE = 2048
 WINDOW = 16 * SEQUENCE
 LANE = 1 << 20
 END = 1
-#: Distinct words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 50_000, 64
 #: Pieces shorter than this are not cut for the sake of a deficit.
 LEAST_PIECE = 64
 #: Lanes, or part files, whose sums one task adds up.
@@ -57,11 +57,9 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts as bytes of 16- or 32-bit numbers, with a memory of frequent words.
+    """Ids of whole texts as bytes of 16- or 32-bit numbers.
 
-    A single space between two visible characters always begins a new word, so words may be encoded alone; texts with
-    a space before other white space, or at their end, are encoded as a whole. A text that holds a special
-    token's string goes through the tokenizer file's own encoder.
+    A text that holds a special token's string goes through the tokenizer file's own encoder.
     """
 
     _made: dict[str, Encoder] = {}
@@ -78,22 +76,6 @@ class Encoder:
         ranks = {bytes(back[c] for c in token): k for token, k in own["model"]["vocab"].items() if token not in special}
         self.kind = np.dtype("<u2" if max([*ranks.values(), *(t["id"] for t in own.get("added_tokens", ()))]) < 1 << 16 else "<u4")
         self.plain = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r" \s| \Z")
-        encode, kind = self.plain.encode_ordinary, self.kind
-
-        class Memory(dict):
-            lead = ""
-
-            def __missing__(self, word):
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                found = np.array(encode(self.lead + word), kind).tobytes()
-                if len(word) <= LONGEST:
-                    self[word] = found
-                return found
-
-        self.first, self.later = Memory(), Memory()
-        self.later.lead = " "
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -109,11 +91,13 @@ class Encoder:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.path)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if self.odd.search(text):
-            return np.array(self.plain.encode_ordinary(text), self.kind).tobytes()
-        first, *rest = text.split(" ")
-        return b"".join([self.first[first], *map(self.later.__getitem__, rest)])
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.plain.encode_ordinary(text)
+        packed = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
 
 def default_tokenizer() -> str:
