@@ -485,7 +485,8 @@ def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> Dat
     n_wanted = wanted.count()
     by_id = wanted.select("cid", "c1", "c2", F.coalesce("rep.doc_id", F.lit(-(2**63))).alias("id"), F.col("rep.th").alias("th"))
     texts = rows.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th").join(F.broadcast(by_id) if n_wanted <= BROADCAST_CLASSES else by_id, ["id", "th"])
-    sets = materialize(texts.select("cid", "c1", "c2", "text").mapInArrow(_second_pass(n), "cid long, shingles binary"), "shingle-sets")
+    # few texts are wanted of each part of the input: they are dealt evenly before they are cut to words
+    sets = materialize(texts.select("cid", "c1", "c2", "text").hint("rebalance").mapInArrow(_second_pass(n), "cid long, shingles binary"), "shingle-sets")
     if sets.count() > n_wanted:  # a repeated row of a representative gave the same set again
         sets = materialize(sets.dropDuplicates(["cid"]), "shingle-sets")
     return sets
